@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforge.llm import packing, quality
+from lexforge.llm import packing, quality, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": quality.op2_quality, "op7_packing": packing.op7_packing}
+    return {"op1_simhash": simhash.op1_simhash, "op2_quality": quality.op2_quality, "op7_packing": packing.op7_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": quality.sql()}
+    return {"op1_simhash": simhash.op1_simhash, "op2_quality": quality.sql()}
