@@ -2,12 +2,13 @@
 
 Lines are normalised (lower case, runs of blanks to one, trimmed) and hashed. A line is
 boilerplate on its host when more distinct documents of the host hold it than
-max(min_docs, ratio * documents of the host). Boilerplate lines are removed; a document that
+max(min_docs, ratio * documents of the host). Documents are distinct when their texts are, so a
+document and its exact copies count once and copying alone never condemns a line. Boilerplate lines are removed; a document that
 lost lines and is left with under min_keep of its characters is depleted and rejected.
 
 The limit is relative, so a host has at most (mean lines of a document) / ratio boilerplate
 lines however large it is, and the table of them is small beside the corpus; its size is
-checked before it is broadcast. The count shuffles (host, hash, doc_id) triples, never text.
+checked before it is broadcast. The count shuffles (host, hash, text hash) triples, never text.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lexforge.llm.common import documents, small_side, written
 
-MIN_DOCS, RATIO, MIN_KEEP = 5, 0.01, 0.3
+MIN_DOCS, RATIO, MIN_KEEP = 10, 0.01, 0.3
 
 
 def normal_line(line: Column) -> Column:
@@ -26,11 +27,11 @@ def normal_line(line: Column) -> Column:
 
 def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, ratio: float = RATIO) -> DataFrame:
     """(host, line_hash, n_docs) of the boilerplate lines. Blank lines never count; a null source is the host ''."""
-    d = docs.select(F.coalesce("source", F.lit("")).alias("host"), "doc_id", "text")
-    hosts = d.groupBy("host").agg(F.countDistinct("doc_id").alias("host_docs"))
+    d = docs.select(F.coalesce("source", F.lit("")).alias("host"), F.xxhash64("text").alias("doc"), "text").where("text is not null")
+    hosts = d.groupBy("host").agg(F.countDistinct("doc").alias("host_docs"))
     hashes = F.transform(F.filter(F.transform(F.split("text", "\n", -1), normal_line), lambda x: x != ""), lambda x: F.xxhash64(x))
-    lines = d.where("doc_id is not null").select("host", "doc_id", F.explode(F.array_distinct(hashes)).alias("line_hash"))
-    counts = lines.groupBy("host", "line_hash").agg(F.countDistinct("doc_id").alias("n_docs")).where(F.col("n_docs") > min_docs)
+    lines = d.select("host", "doc", F.explode(F.array_distinct(hashes)).alias("line_hash"))
+    counts = lines.groupBy("host", "line_hash").agg(F.countDistinct("doc").alias("n_docs")).where(F.col("n_docs") > min_docs)
     return counts.join(hosts, "host").where(F.col("n_docs") > F.greatest(F.lit(float(min_docs)), F.col("host_docs") * ratio)).select("host", "line_hash", "n_docs")
 
 
@@ -39,7 +40,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, ratio: float
 
     docs needs doc_id, text and source; other columns pass through, n_chars (if there) is
     recomputed for changed texts. Null and empty texts have no lines: they are kept as they are.
-    Rows that repeat a doc_id count as one document; each is cleaned and judged by itself. An
+    A null or repeated doc_id makes no difference: each row is cleaned and judged by itself. An
     empty table gives an empty table.
     """
     flagged = written(frequent_lines(docs, min_docs, ratio).groupBy("host").agg(F.collect_list("line_hash").alias("__lx_flagged")).withColumnRenamed("host", "__lx_host"), "lines")
@@ -70,9 +71,9 @@ def _norm(x: str) -> str:
 
 def sql(table: str = "documents", min_docs: int = MIN_DOCS, ratio: float = RATIO, min_keep: float = MIN_KEEP, columns: str = "doc_id, text, lang, source, n_chars, removed_lines") -> str:
     return f"""
-with hosts as (select coalesce(source, '') host, count(distinct doc_id) host_docs from {table} group by 1),
-lines as (select coalesce(source, '') host, doc_id, unnest(string_split(text, chr(10))) line from {table}),
-counts as (select host, {_norm("line")} norm, count(distinct doc_id) n_docs from lines group by 1, 2),
+with hosts as (select coalesce(source, '') host, count(distinct text) host_docs from {table} group by 1),
+lines as (select coalesce(source, '') host, text, unnest(string_split(text, chr(10))) line from {table}),
+counts as (select host, {_norm("line")} norm, count(distinct text) n_docs from lines group by 1, 2),
 flagged as (select host, list(norm) norms from counts join hosts using (host)
             where norm <> '' and n_docs > greatest({min_docs}, host_docs * {ratio}) group by 1),
 parts as (select d.*, string_split(text, chr(10)) lines,
