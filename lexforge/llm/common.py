@@ -4,9 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from lexforge.llm import textbuf as tb
 
 BROADCAST_ROWS = 2_000_000
 
@@ -67,3 +75,44 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def scan_texts(docs: DataFrame, added: str, scan: Callable[[list[str | None]], list[list]], gate: str, column: str = "text") -> DataFrame:
+    """docs with columns computed from one text column, in Arrow batches of about a megabyte of text.
+
+    added is a DDL string; scan gets the texts and returns one list for each added column, in
+    which an added column named as the text column replaces it. Only texts that match the RE2
+    pattern gate are sent to scan; for the rest (nulls too) it is called once with None, whose
+    row they all get, except that the text column keeps its value. Columns of docs that bear an
+    added name are replaced, all others pass through.
+    """
+    new = T._parse_datatype_string(added)
+    names = [f.name for f in new.fields]
+    kept = [f for f in docs.schema.fields if f.name not in names or f.name == column]
+    schema = T.StructType(kept + [f for f in new.fields if f.name != column])
+    types = {f.name: to_arrow_type(f.dataType) for f in new.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = {n: v[0] for n, v in zip(names, scan([None]))}
+        for whole in batches:
+            _, offsets = tb.buffers(whole.column(whole.schema.get_field_index(column)))
+            for lo, hi in tb.slices(offsets):
+                b = whole.slice(lo, hi - lo)
+                texts = b.column(b.schema.get_field_index(column))
+                hit = pc.fill_null(pc.match_substring_regex(texts, gate), False)
+                at = np.flatnonzero(hit.to_numpy(zero_copy_only=False))
+                found = dict(zip(names, scan(texts.take(pa.array(at)).to_pylist()))) if len(at) else {}
+                where = np.full(len(b), len(at), dtype=np.int64)
+                where[at] = np.arange(len(at))
+                made = {}
+                for n in names:
+                    if n == column:
+                        if len(at):
+                            changed = pa.array([*found[n], None], types[n])
+                            texts = pc.if_else(hit, changed.take(pa.array(where)), texts)
+                    else:
+                        made[n] = pa.array([*found.get(n, []), none[n]], types[n]).take(pa.array(where))
+                columns = [texts if f.name == column else b.column(b.schema.get_field_index(f.name)) for f in kept] + [made[n] for n in names if n != column]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
+
+    return docs.select(*[docs[f.name] for f in kept]).mapInArrow(run, schema)

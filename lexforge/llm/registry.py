@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforge.llm import packing, quality, simhash
+from lexforge.llm import packing, pii, quality, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": quality.op2_quality, "op7_packing": packing.op7_packing}
+    return {
+        "op1_simhash": simhash.op1_simhash,
+        "op2_quality": quality.op2_quality,
+        "op3_pii": pii.op3_pii,
+        "op5_secrets": secrets.op5_secrets,
+        "op7_packing": packing.op7_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
