@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforge.llm import packing, pii, quality, secrets, simhash
+from lexforge.llm import bpe, packing, pii, quality, secrets, simhash, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,9 +15,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality": quality.op2_quality,
         "op3_pii": pii.op3_pii,
         "op5_secrets": secrets.op5_secrets,
+        "op6_bpe": bpe.op6_bpe,
         "op7_packing": packing.op7_packing,
+        "op8_warc": warc.op8_warc,
+        "op10_topk": topk.op10_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": quality.sql()}
+    return {"op2_quality": quality.sql(), "op10_topk": topk.sql()}
