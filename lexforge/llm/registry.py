@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforge.llm import bpe, packing, pii, quality, secrets, simhash, topk, warc
+from lexforge.llm import bpe, packing, pii, quality, secrets, simhash, sitetree, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": simhash.op1_simhash,
         "op2_quality": quality.op2_quality,
         "op3_pii": pii.op3_pii,
+        "op4_html": sitetree.op4_html,
         "op5_secrets": secrets.op5_secrets,
         "op6_bpe": bpe.op6_bpe,
         "op7_packing": packing.op7_packing,
