@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforge.llm import bpe, packing, pii, quality, secrets, simhash, sitetree, topk, warc
+from lexforge.llm import bpe, packing, pii, quality, secrets, simhash, sitetree, suffix, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bpe": bpe.op6_bpe,
         "op7_packing": packing.op7_packing,
         "op8_warc": warc.op8_warc,
+        "op9_suffix": suffix.op9_suffix,
         "op10_topk": topk.op10_topk,
     }
 
