@@ -85,7 +85,9 @@ class Spool:
 
     def gather(self, at: np.ndarray) -> np.ndarray:
         """Values at any positions; of parts on disk the pages in demand are read, in order."""
-        if len(self.parts) == 1 and not isinstance(self.parts[0], str):
+        if self.parts and not any(isinstance(p, str) for p in self.parts):
+            if len(self.parts) > 1:
+                self.parts, self.ends = [np.concatenate(self.parts)], [0, len(self)]
             return self.parts[0][at]
         out = np.empty(len(at), dtype=np.int64)
         order = np.argsort(at, kind="stable")
@@ -131,6 +133,13 @@ def _range_min(a: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
+def _dense(order: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Rank of each item from the order and where it rises."""
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.r_[0, np.cumsum(steps)]
+    return out
+
+
 def extend(text: Spool, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Common prefix of the suffixes at a and b, symbol by symbol; a and b differ and neither runs off the text before they do."""
     out = np.zeros(len(a), dtype=np.int64)
@@ -212,45 +221,44 @@ def sweep(text: Spool, counts: np.ndarray, seed_pos: Spool, seed_lcp: Spool, sig
             sym.append(front_sym)
             pos.append(front_pos)
             kind.append(front_kind)
-        depth = len(sym) - 1
         sym, pos, kind, parent, target = (np.concatenate(x) for x in (sym, pos, kind, parent, target))
         n = len(sym)
-        # order: by symbol; derived from before the range, derived in it by the order of successors, seeds
-        key = ((sym - low) * 3 + kind) * n
-        rank = np.zeros(n, dtype=np.int64)
-        sub = np.arange(n)
-        for _ in range(depth):
-            sub[outside:] = rank[parent[outside:]]
-            order = np.argsort(key + sub)
-            new = np.empty(n, dtype=np.int64)
-            new[order] = np.arange(n)
-            if (new == rank).all():
-                break
-            rank = new
-        sym, pos, kind, target = sym[order], pos[order], kind[order], target[order]
-        where_parent = rank[parent[order]]
+        # order: by symbol; derived before the range, derived in it by the order of successors, seeds. Chains of
+        # successors inside the range are compared by doubling: level t knows the order by the first 2^t of a chain
+        came = np.arange(n) < outside
+        order = np.argsort(((sym - low) * 3 + kind) * (n + 1) + np.where(came, np.arange(1, n + 1), 0))
+        first = ((sym - low) * 3 + kind)[order]
+        rank = _dense(order, (first[1:] != first[:-1]) | came[order[1:]])
+        ancestor = np.where(came, np.arange(n), parent)
+        levels = [(rank, ancestor)]
+        while rank[order[-1]] + 1 < n:
+            both = rank * n + rank[ancestor]
+            order = np.argsort(both)
+            rank = _dense(order, np.diff(both[order]) > 0)
+            ancestor = ancestor[ancestor]
+            levels.append((rank, ancestor))
         full = np.zeros(n, dtype=np.int64)
-        head = np.r_[True, sym[1:] != sym[:-1]]
-        came = order < outside
-        same_kind = np.r_[False, kind[1:] == kind[:-1]] & ~head
-        carried = came & same_kind
-        full[carried] = lcp[order[carried]]
-        # first seed after derived tuples: compared symbol by symbol
-        border = np.flatnonzero(~head & (kind == 2) & np.r_[False, kind[:-1] < 2])
-        full[border] = extend(text, pos[border - 1], pos[border])
-        made = np.flatnonzero(~came & ~head)
-        one = ~came[made] & came[made - 1]  # the tuple before comes from another range
-        full[made[one]] = 1
-        made = made[~one]
-        apart = sym[where_parent[made]] != sym[where_parent[made - 1]]
-        full[made[apart]] = 1
-        made = made[~apart]
-        full[made] = np.iinfo(np.int64).max >> 1
-        while len(made):
-            new = 1 + _range_min(full, where_parent[made - 1] + 1, where_parent[made] + 1)
-            if (new == full[made]).all():
-                break
-            full[made] = new
+        at = np.flatnonzero(sym[order[1:]] == sym[order[:-1]]) + 1
+        a, b = order[at - 1], order[at]
+        value = np.zeros(len(at), dtype=np.int64)
+        for t in range(len(levels) - 1, -1, -1):
+            rank, ancestor = levels[t]
+            same = rank[a] == rank[b]
+            a, b = np.where(same, ancestor[a], a), np.where(same, ancestor[b], b)
+            value += same.astype(np.int64) << t
+        # where the chains part: tuples of one kind that came from outside have common prefixes; tuples of which one
+        # came and one was derived here have one symbol in common; a seed and another are compared symbol by symbol
+        alike = sym[a] == sym[b]
+        seeds = np.flatnonzero(alike & (kind[a] != kind[b]) & ((kind[a] == 2) | (kind[b] == 2)))
+        value[seeds] += extend(text, pos[a[seeds]], pos[b[seeds]])
+        value[alike & (kind[a] != kind[b]) & (kind[a] < 2) & (kind[b] < 2)] += 1
+        peers = np.flatnonzero(alike & (kind[a] == kind[b]))
+        by = np.argsort((sym[:outside] * 3 + kind[:outside]) * (outside + 1) + np.arange(outside))
+        place = np.empty(outside, dtype=np.int64)
+        place[by] = np.arange(outside)
+        value[peers] += _range_min(lcp[by], place[a[peers]] + 1, place[b[peers]] + 1)
+        full[at] = value
+        sym, pos, kind, target = sym[order], pos[order], kind[order], target[order]
         # push what goes beyond the range
         far = np.flatnonzero(target >= 0)
         if len(far):
