@@ -22,6 +22,11 @@ def _none(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body over a value that is computed once: inside a lambda an expression would be computed again for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def document(text: Column) -> Column:
     return F.array(tx.strip(text))
 
@@ -43,13 +48,14 @@ def _cuts(weights: Column, limit: int) -> Column:
 
 def _groups(items: Column, cuts: Column) -> Column:
     """Slices of items between cut points."""
-    edges = F.concat(F.array(F.lit(0)), cuts, F.array(F.size(items)))
-    return F.transform(F.sequence(F.lit(0), F.size(edges) - 2), lambda k: F.slice(items, F.get(edges, k) + 1, F.get(edges, k + 1) - F.get(edges, k)))
+    edges = lambda it: F.concat(F.array(F.lit(0)), cuts, F.array(F.size(it)))
+    part = lambda it, e, k: F.slice(it, F.get(e, k) + 1, F.get(e, k + 1) - F.get(e, k))
+    return let(items, lambda it: let(edges(it), lambda e: F.transform(F.sequence(F.lit(0), F.size(e) - 2), lambda k: part(it, e, k))))
 
 
 def greedy(items: Column, weight: Callable[[Column], Column], limit: int, glue: str) -> Column:
-    joined = F.transform(_groups(items, _cuts(F.transform(items, lambda x: weight(x).cast("long")), limit)), lambda g: F.array_join(g, glue))
-    return F.when(F.size(items) > 0, joined).otherwise(_none("string"))
+    joined = lambda it: F.transform(_groups(it, _cuts(F.transform(it, lambda x: weight(x).cast("long")), limit)), lambda g: F.array_join(g, glue))
+    return let(items, lambda it: F.when(F.size(it) > 0, joined(it)).otherwise(_none("string")))
 
 
 def words(text: Column) -> Column:
@@ -57,13 +63,18 @@ def words(text: Column) -> Column:
 
 
 def naive(text: Column, max_tokens: int = 512) -> Column:
-    """Words filled up to four characters a token, each with its blank; a longer word stands alone."""
-    return greedy(words(text), lambda w: F.length(w) + 1, max_tokens * 4, " ")
+    """Words filled up to four characters a token, each with its blank; a longer word stands alone. One pass of a regular expression over the blank-normalised text."""
+    line = F.concat(tx.strip(F.regexp_replace(text, r"(?U)\s+", " ")), F.lit(" "))
+    pattern = rf"(.{{1,{max_tokens * 4 - 1}}}|[^ ]+) "
+    return F.filter(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)), lambda f: f != "")
 
 
 def naive_boundaries(text: Column, max_tokens: int = 512) -> Column:
     """Number of the word that opens each further fragment."""
-    return _cuts(F.transform(words(text), lambda w: (F.length(w) + 1).cast("long")), max_tokens * 4)
+    sizes = F.transform(naive(text, max_tokens), lambda f: F.size(F.split(f, " ")))
+    start = F.struct(F.lit(0).alias("at"), _none("int").alias("out"))
+    ends = F.aggregate(sizes, start, lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["out"], s["at"] + n).alias("out")), lambda s: s["out"])
+    return let(ends, lambda e: F.slice(e, 1, F.greatest(F.size(e) - 1, F.lit(0))))
 
 
 def sentences(text: Column) -> Column:
@@ -93,22 +104,20 @@ def sections(text: Column) -> Column:
     or a fence, 'introduccion' at the top; between an opening and a closing fence it is code, even
     without a line. A header without lines, and a fence that is not closed, are lost.
     """
-    lines = F.split(text, "\n", -1)
-    numbers = F.sequence(F.lit(0), F.size(lines) - 1)
-    fences = F.filter(numbers, lambda i: F.get(lines, i).startswith("```"))
+    fenced = lambda line: line.startswith("```")
+    numbers = lambda lines: F.sequence(F.lit(0), F.size(lines) - 1)
 
-    def marks(i: Column) -> Column:
-        line = F.get(lines, i)
-        rule = tx.strip(line).isin("---", "***", "___")
-        return line.startswith("```") | ((rule | line.rlike(_HEADER)) & (F.size(F.filter(fences, lambda f: f < i)) % 2 == 0))
+    def events(lines: Column, fences: Column) -> Column:
+        def marks(i: Column) -> Column:
+            line = F.get(lines, i)
+            rule = tx.strip(line).isin("---", "***", "___")
+            return fenced(line) | ((rule | line.rlike(_HEADER)) & (F.size(F.filter(fences, lambda f: f < i)) % 2 == 0))
 
-    events = F.filter(numbers, marks)
-    edges = F.concat(F.array(F.lit(-1)), events, F.array(F.size(lines)))
+        return F.filter(numbers(lines), marks)
 
-    def section(k: Column) -> Column:
-        a, b = F.get(edges, k), F.get(edges, k + 1)
+    def section(lines: Column, fences: Column, a: Column, b: Column) -> Column:
         line = F.when(a >= 0, F.get(lines, a))
-        fence = F.coalesce(line.startswith("```"), F.lit(False))
+        fence = F.coalesce(fenced(line), F.lit(False))
         opened = fence & (F.size(F.filter(fences, lambda f: f < a)) % 2 == 0)
         header = F.coalesce(line.rlike(_HEADER), F.lit(False)) & ~fence
         language = tx.strip(F.substring(line, 4, 1 << 30))
@@ -123,7 +132,19 @@ def sections(text: Column) -> Column:
         real = F.when(opened, b < F.size(lines)).otherwise(b - a > 1)
         return F.struct(title.alias("title"), level.cast("int").alias("level"), body.alias("body"), real.alias("real"))
 
-    found = F.filter(F.transform(F.sequence(F.lit(0), F.size(edges) - 2), section), lambda s: s["real"])
+    def cut(lines: Column, fences: Column, edges: Column) -> Column:
+        return F.filter(F.transform(F.sequence(F.lit(0), F.size(edges) - 2), lambda k: section(lines, fences, F.get(edges, k), F.get(edges, k + 1))), lambda s: s["real"])
+
+    def all_edges(lines: Column, fences: Column) -> Column:
+        return F.concat(F.array(F.lit(-1)), events(lines, fences), F.array(F.size(lines)))
+
+    found = let(
+        F.split(text, "\n", -1),
+        lambda lines: let(
+            F.filter(numbers(lines), lambda i: fenced(F.get(lines, i))),
+            lambda fences: let(all_edges(lines, fences), lambda edges: cut(lines, fences, edges)),
+        ),
+    )
     plain = F.transform(found, lambda s: F.struct(s["title"].alias("title"), s["level"].alias("level"), s["body"].alias("body")))
     empty = F.array(F.struct(F.lit("introduccion").alias("title"), F.lit(0).alias("level"), F.lit("").alias("body")))
     return F.when(tx.strip(text) == "", empty).otherwise(plain).cast(f"array<{SECTION}>")
@@ -131,13 +152,12 @@ def sections(text: Column) -> Column:
 
 def _families(s: Column) -> Column:
     """Each section with the end of its run of level-3 followers, whether a level-2 section leads it, and the merged body."""
-    numbers = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(_none("int"))
-    others = F.filter(numbers, lambda j: F.get(s, j)["level"] != 3)
 
-    def one(i: Column) -> Column:
+    def one(s: Column, others: Column, i: Column) -> Column:
         end = F.coalesce(F.get(F.filter(others, lambda j: j > i), F.lit(0)), F.size(s))
+        before = F.filter(others, lambda j: j < i)
         below = F.transform(F.slice(s, i + 2, end - i - 1), lambda c: F.concat(F.lit("\n\n### "), c["title"], F.lit("\n"), c["body"]))
-        lead = F.get(F.filter(others, lambda j: j < i), F.size(F.filter(others, lambda j: j < i)) - 1)
+        lead = F.get(before, F.size(before) - 1)
         led = (F.get(s, i)["level"] == 3) & F.coalesce(F.get(s, lead)["level"] == 2, F.lit(False))
         x = F.get(s, i)
         return F.struct(
@@ -145,7 +165,10 @@ def _families(s: Column) -> Column:
             led.alias("led"), F.coalesce(lead, F.lit(-1)).alias("lead"), F.concat(x["body"], F.array_join(below, "")).alias("merged"),
         )
 
-    return F.transform(numbers, one)
+    def numbers(s: Column) -> Column:
+        return F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(_none("int"))
+
+    return let(s, lambda s: let(F.filter(numbers(s), lambda j: F.get(s, j)["level"] != 3), lambda others: F.transform(numbers(s), lambda i: one(s, others, i))))
 
 
 def section_chunks(docs: DataFrame, max_tokens: int = 512) -> DataFrame:
@@ -166,13 +189,19 @@ def section_chunks(docs: DataFrame, max_tokens: int = 512) -> DataFrame:
         return ~F.coalesce(swallowed, F.lit(False)) & (tx.strip(F.when(merges(x), x["merged"]).otherwise(x["body"])) != "")
 
     def pieces(x: Column) -> Column:
+        def part(cut: Column, p: Column, k: Column) -> Column:
+            title = F.when(F.size(cut) > 1, F.concat(x["title"], F.lit(" (parte "), (k + 1).cast("string"), F.lit(")"))).otherwise(x["title"])
+            return F.struct(title.alias("title"), p.alias("content"))
+
+        def named(body: Column) -> Column:
+            split = greedy(F.split(body, "\n\n", -1), tx.token_estimate, max_tokens, "\n\n")
+            return let(split, lambda cut: F.transform(cut, lambda p, k: part(cut, p, k)))
+
         body = F.when(merges(x), x["merged"]).otherwise(x["body"])
-        cut = greedy(F.split(body, "\n\n", -1), tx.token_estimate, max_tokens, "\n\n")
-        many = F.size(cut) > 1
-        named = F.transform(cut, lambda p, k: F.struct(F.when(many, F.concat(x["title"], F.lit(" (parte "), (k + 1).cast("string"), F.lit(")"))).otherwise(x["title"]).alias("title"), p.alias("content")))
-        return F.when(fits(body), F.array(F.struct(x["title"].alias("title"), body.alias("content")))).otherwise(named)
+        return let(body, lambda b: F.when(fits(b), F.array(F.struct(x["title"].alias("title"), b.alias("content")))).otherwise(named(b)))
 
-    parts = F.flatten(F.transform(F.filter("__s", alive), pieces))
+    fam = fam.withColumn("__p", F.flatten(F.transform(F.filter("__s", alive), pieces)))
+    parts = F.col("__p")
     empty = F.array(F.struct(F.lit("introduccion").alias("title"), F.lit("").alias("content")))
     out = fam.select("note_id", F.posexplode(F.when(F.size(parts) > 0, parts).otherwise(empty)).alias("order", "c"))
     content = tx.strip(F.col("c.content"))
@@ -181,20 +210,22 @@ def section_chunks(docs: DataFrame, max_tokens: int = 512) -> DataFrame:
 
 def structural(text: Column, max_tokens: int = 512, min_chars: int = 20) -> Column:
     """array<struct<content, level, title>>: level-2 sections always with their level-3 followers, cut at blank lines if too long; short fragments dropped."""
-    s = _families(sections(text))
+    def cut(body: Column, paras: Column) -> Column:
+        short = (tx.token_estimate(body) <= max_tokens) | (F.size(paras) == 0)
+        return F.when(short, F.array(tx.strip(body))).otherwise(greedy(paras, tx.token_estimate, max_tokens, "\n\n"))
 
     def pieces(x: Column) -> Column:
         body = F.when(x["level"] == 2, x["merged"]).otherwise(x["body"])
-        paras = paragraphs(body)
-        cut = F.when((tx.token_estimate(body) <= max_tokens) | (F.size(paras) == 0), F.array(tx.strip(body))).otherwise(greedy(paras, tx.token_estimate, max_tokens, "\n\n"))
-        kept = F.filter(cut, lambda p: F.length(p) >= min_chars)
+        kept = let(body, lambda b: F.filter(let(paragraphs(b), lambda p: cut(b, p)), lambda p: F.length(p) >= min_chars))
         return F.when(tx.strip(body) == "", _none("struct<content:string,level:int,title:string>")).otherwise(
             F.transform(kept, lambda p: F.struct(p.alias("content"), x["level"].alias("level"), x["title"].alias("title")))
         )
 
-    found = F.flatten(F.transform(F.filter(s, lambda x: ~x["led"]), pieces))
-    first = F.coalesce(F.get(s, F.lit(0))["body"], F.lit(""))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.struct(first.alias("content"), F.lit(-1).alias("level"), F.lit("").alias("title"))))
+    def filled(s: Column, found: Column) -> Column:
+        first = F.coalesce(F.get(s, F.lit(0))["body"], F.lit(""))
+        return F.when(F.size(found) > 0, found).otherwise(F.array(F.struct(first.alias("content"), F.lit(-1).alias("level"), F.lit("").alias("title"))))
+
+    return let(_families(sections(text)), lambda s: let(F.flatten(F.transform(F.filter(s, lambda x: ~x["led"]), pieces)), lambda found: filled(s, found)))
 
 
 def structural_confidence(level: Column) -> Column:
@@ -238,7 +269,8 @@ def sliding_windows(text: Column, window_chars: int, stride_chars: int) -> Colum
 def split_at(text: Column, breaks: Column) -> Column:
     """Stripped pieces between cut points; the whole text if there are no cut points or nothing is left."""
     edges = F.concat(F.array(F.lit(0)), F.coalesce(breaks, _none("int")), F.array(F.length(text)))
-    pieces = _units(F.transform(F.sequence(F.lit(0), F.size(edges) - 2), lambda k: F.substring(text, F.get(edges, k) + 1, F.greatest(F.get(edges, k + 1) - F.get(edges, k), F.lit(0)))))
+    piece = lambda e, k: F.substring(text, F.get(e, k) + 1, F.greatest(F.get(e, k + 1) - F.get(e, k), F.lit(0)))
+    pieces = _units(let(edges, lambda e: F.transform(F.sequence(F.lit(0), F.size(e) - 2), lambda k: piece(e, k))))
     return F.when((F.coalesce(F.size(breaks), F.lit(0)) > 0) & (F.size(pieces) > 0), pieces).otherwise(F.array(text))
 
 

@@ -19,26 +19,13 @@ def missing(tasks: DataFrame) -> DataFrame:
     return edges(tasks).join(known, ["graph", "needs"], "left_anti").select("graph", "id", "needs")
 
 
-def levels(tasks: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(graph, id, level): tasks without dependencies at 0, others one above their highest; tasks of or behind a cycle have null.
-
-    One join a level; each round only carries the tasks whose dependencies are all placed.
-    """
-    spark = tasks.sparkSession
-    tasks.select("graph", "id", F.array_distinct("depends_on").alias("d")).createOrReplaceTempView("__lx_tasks")
-    spark.sql("select graph, id, explode(d) needs from __lx_tasks").createOrReplaceTempView("__lx_edges")
-    placed = spark.sql(
-        f"""with recursive walk max recursion level {max_rounds} (graph, id, level) as (
-            select graph, id, 0 from __lx_tasks where size(d) = 0
-            union all
-            select e.graph, e.id, w.level + 1 from walk w join __lx_edges e on e.graph = w.graph and e.needs = w.id)
-        select graph, id, max(level) level from walk group by graph, id"""
-    )
-    return tasks.select("graph", "id").join(placed, ["graph", "id"], "left")
+def levels(tasks: DataFrame) -> DataFrame:
+    """(graph, id, level): tasks without known dependencies at 0, others one above their highest; tasks of or behind a cycle have null."""
+    return order(tasks).select("graph", "id", "level")
 
 
 def order(tasks: DataFrame) -> DataFrame:
-    """(graph, id, place, in_cycle): first-in first-out topological order, roots by id; tasks of or behind a cycle have no place. Graphs are small: one is one group."""
+    """(graph, id, place, level, in_cycle): first-in first-out topological order, roots by id; tasks of or behind a cycle have no place. Graphs are small: one is one group."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         needs = {r.id: [d for d in dict.fromkeys(r.depends_on)] for r in rows.itertuples()}
@@ -48,17 +35,17 @@ def order(tasks: DataFrame) -> DataFrame:
             for d in needs[k]:
                 if d in after:
                     after[d].append(k)
-        ready, place = deque(sorted(k for k, n in left.items() if n == 0)), {}
+        ready, place, level = deque(sorted(k for k, n in left.items() if n == 0)), {}, {}
         while ready:
             k = ready.popleft()
-            place[k] = len(place)
+            place[k], level[k] = len(place), max((level[d] + 1 for d in needs[k] if d in level), default=0)
             for x in after[k]:
                 left[x] -= 1
                 if left[x] == 0:
                     ready.append(x)
-        return pd.DataFrame([(rows.graph.iloc[0], k, place.get(k), k not in place) for k in needs], columns=["graph", "id", "place", "in_cycle"]).astype({"place": "Int32"})
+        return pd.DataFrame([(rows.graph.iloc[0], k, place.get(k), level.get(k), k not in place) for k in needs], columns=["graph", "id", "place", "level", "in_cycle"]).astype({"place": "Int32", "level": "Int32"})
 
-    return tasks.select("graph", "id", "depends_on").groupBy("graph").applyInPandas(run, "graph long, id string, place int, in_cycle boolean")
+    return tasks.select("graph", "id", "depends_on").groupBy("graph").applyInPandas(run, "graph long, id string, place int, level int, in_cycle boolean")
 
 
 def ready(tasks: DataFrame) -> DataFrame:

@@ -193,7 +193,7 @@ def emb_missing(spark: SparkSession, d: str) -> DataFrame:
     return store.chunks_without_embeddings(fx.chunks(spark, d), fx.chunk_vectors(spark, d)).select("id")
 
 
-@query("select e.id, e.other, c.title, e.similarity, e.link_type from (select src id, tgt other, similarity, link_type from links union all select tgt, src, similarity, link_type from links where src <> tgt) e join chunks c on c.id = e.other")
+@query("select e.id, e.other, c.title, e.similarity, e.link_type from (select src id, tgt other, similarity, link_type from links union all select tgt, src, similarity, link_type from links where src <> tgt) e join chunks c on c.id = e.other where e.id in (select id from chunks)")
 def link_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return store.linked_chunks(fx.links(spark, d), fx.chunks(spark, d).select("id"), fx.chunks(spark, d))
 
@@ -485,7 +485,7 @@ def chunk_per_note(spark: SparkSession, d: str) -> DataFrame:
     return fx.notes(spark, d).select(F.concat("id", F.lit("::0")).alias("chunk_id"), F.col("id").alias("note_id"), "title", "content", F.lit(0).alias("pos"))
 
 
-@query("select s.note_id, flatten(list(s.x order by f)) signal, flatten(list(list_transform(s.v, lambda i: (i + off)::int) order by f)) valleys from (select *, coalesce(sum(n) over (partition by note_id order by f rows between unbounded preceding and 1 preceding), 0) off from fr) s group by s.note_id", "fr as (select 'c' || l_orderkey % 50 note_id, l_orderkey f, count(*) n, list(l_discount order by l_linenumber) x, list(l_linenumber order by l_linenumber) v from lineitem group by l_orderkey)")
+@query("select s.note_id, flatten(list(s.x order by f)) signal, flatten(list(list_transform(s.v, lambda i: (i + off)::int) order by f)) valleys from (select *, coalesce(sum(n) over (partition by note_id order by f rows between unbounded preceding and 1 preceding), 0) off from fr) s group by s.note_id", "fr as (select 'c' || l_orderkey % 50 note_id, l_orderkey f, count(*) n, list(l_discount order by l_linenumber, l_discount) x, list(l_linenumber order by l_linenumber) v from lineitem group by l_orderkey)")
 def signal_concat(spark: SparkSession, d: str) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_discount")))
     g = fx.read(spark, d, "lineitem").groupBy("l_orderkey").agg(rows.alias("r"), F.count("*").alias("n_units"))
@@ -571,9 +571,9 @@ def judge_cache(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.judged(g, c.select("hash", *[F.col("s").alias(n) for n in ("faithfulness", "answer_relevancy", "context_precision", "context_recall")]))
 
 
-@query("select session, seq, round(h / n, 4) hit_rate, round(dep / n, 2) avg_depth from (select *, sum(hit) over w h, count(*) over w n, sum(depth) over w dep from acc window w as (partition by session order by seq)) where seq % 10 = 0", "acc as (select l_suppkey session, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber) seq, (l_returnflag = 'R')::int hit, l_linenumber depth from lineitem)")
+@query("select session, seq, floor(h / n * 10000 + 0.5 + 1e-7) / 10000 hit_rate, floor(dep / n * 100 + 0.5 + 1e-7) / 100 avg_depth from (select *, sum(hit) over w h, count(*) over w n, sum(depth) over w dep from acc window w as (partition by session order by seq)) where seq % 10 = 0", "acc as (select l_suppkey session, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) seq, (l_returnflag = 'R')::int hit, l_linenumber depth from lineitem)")
 def access_history(spark: SparkSession, d: str) -> DataFrame:
-    seq = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")).cast("long")
+    seq = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")).cast("long")
     a = fx.read(spark, d, "lineitem").select(F.col("l_suppkey").alias("session"), seq.alias("seq"), (F.col("l_returnflag") == "R").alias("hit"), F.col("l_linenumber").alias("depth"))
     return evaluation.access_history(a)
 

@@ -53,13 +53,16 @@ register_chunker("sentences")(chunking.sentences)
 register_chunker("structural")(lambda text, **o: F.transform(chunking.structural(text, **o), lambda x: x["content"]))
 
 
+def _one(chunker: Chunker, options: dict) -> Callable[[Column], Column]:
+    return lambda fragment: chunker(fragment, **options)
+
+
 def run(notes: DataFrame, stages: list[tuple[str, dict]]) -> DataFrame:
     """note_id, fragments: the first stage cuts the content, each further one every fragment, in order and without a shuffle."""
     out: Column = get_chunker(stages[0][0])(F.col("content"), **stages[0][1])
     frame = notes.select("note_id", out.alias("fragments"))
     for name, options in stages[1:]:
-        chunker = get_chunker(name)
-        frame = frame.select("note_id", F.flatten(F.transform("fragments", lambda x, c=chunker, o=options: c(x, **o))).alias("fragments"))
+        frame = frame.select("note_id", F.flatten(F.transform("fragments", _one(get_chunker(name), options))).alias("fragments"))
     return frame
 
 
