@@ -519,13 +519,13 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
     return o.select(
         F.col("o_orderpriority").alias("run"), k.alias("query_id"), F.array(F.repeat(F.lit("x"), (k % 400).cast("int")), F.lit("yy")).alias("contents"),
         F.when(k % 7 != 0, (k % 11) / 10.0).alias("score"), F.when(k % 5 != 0, (k % 3) / 2.0).alias("context_precision"), F.when(k % 5 != 1, (k % 4) / 3.0).alias("context_recall"),
-        (F.col("o_totalprice") / 1000).alias("latency_ms"), (k % 13 == 0).alias("cache_hit"), (k % 2 == 0).alias("from_cache"),
+        (F.floor("o_totalprice") / 10).alias("latency_ms"), (k % 13 == 0).alias("cache_hit"), (k % 2 == 0).alias("from_cache"),
     )
 
 
 _RUNS = """runs as (select *, case when context_tokens = 0 then 0 else context_tokens / (coalesce(score, 0) + 0.01) end::double e_tok from (select o_orderpriority run, o_orderkey query_id, ((o_orderkey % 400 + 2) // 4)::bigint context_tokens,
     case when o_orderkey % 7 <> 0 then (o_orderkey % 11) / 10.0 end::double score, case when o_orderkey % 5 <> 0 then (o_orderkey % 3) / 2.0 end::double context_precision, case when o_orderkey % 5 <> 1 then (o_orderkey % 4) / 3.0 end::double context_recall,
-    o_totalprice / 1000 latency_ms, o_orderkey % 13 = 0 cache_hit, o_orderkey % 2 = 0 from_cache from orders)),
+    floor(o_totalprice) / 10 latency_ms, o_orderkey % 13 = 0 cache_hit, o_orderkey % 2 = 0 from_cache from orders)),
 agg as (select run, count(*) n_queries, sum(latency_ms) / count(*) mean_latency_ms, sum(context_tokens) / count(*)::double mean_context_tokens, sum(coalesce(score, 0)) / count(*) mean_score, sum(coalesce(context_precision, 0)) / count(*) mean_precision,
     sum(coalesce(context_recall, 0)) / count(*) mean_recall, sum(e_tok) / count(*) mean_e_tok, avg(cache_hit::int) cache_hit_rate, coalesce(avg(from_cache::int) filter (score is not null), 0) judge_cache_rate from runs group by run)"""
 _MEANS = ("mean_latency_ms", "mean_context_tokens", "mean_score", "mean_precision", "mean_recall", "mean_e_tok", "cache_hit_rate", "judge_cache_rate")
