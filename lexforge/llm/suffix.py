@@ -31,7 +31,7 @@ from lexforge.llm import induced
 from lexforge.llm import textbuf as tb
 from lexforge.llm.common import documents, shared_dir, small_side, written
 
-MIN_WORDS, GRAM, SHARD_WORDS, BLOCK_WORDS, MEMORY = 50, 8, 4 << 20, 1 << 18, 160 << 20
+MIN_WORDS, GRAM, SHARD_WORDS, BLOCK_WORDS, MEMORY = 50, 8, 1 << 20, 1 << 18, 160 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _ANCHOR = "anchor long, stretch long, doc_id long, version long, lo int, hi int"
@@ -263,8 +263,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, shard
                 yield pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(v[at]), pa.array(s[at], pa.int32()), pa.array(s[last] + min_words, pa.int32()), pa.array(least)], ["doc_id", "version", "s", "e", "f"])
 
         shards = max(1, -(-words // shard_words))
-        texts = _shard(spec, jobs).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-        windows = whole.union(texts.repartition(shards, "shard").mapInArrow(sort, "doc_id long, version long, s int, e int, f long"))
+        windows = whole.union(_shard(spec, jobs).repartition(shards, "anchor").mapInArrow(sort, "doc_id long, version long, s int, e int, f long"))
     own = Window.partitionBy("doc_id", "version")
     before = F.max("e").over(own.orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1))
     # stretches that touch without a window across their border are two repeats
