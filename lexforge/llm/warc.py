@@ -5,7 +5,7 @@ file begins with that dictionary in a skippable frame (magic 0x184D2A5D, four by
 dictionary itself), and every record follows as a Zstandard frame of its own, so that a reader that
 has the leading frame can start at the offset of any record.
 
-Pages are dealt to files by a hash of their address and id; the number of files follows the number
+A file is a partition of the pages by a hash of their address and id; the number of files follows the number
 of pages, so a file has about records_per_file records at every scale, and all of them train its
 dictionary. Ids and dates come from the page, not from the clock: a task that is run again writes
 the same bytes.
@@ -22,8 +22,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 import zstandard as zstd
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RECORDS_PER_FILE, DICTIONARY_BYTES, LEVEL, DATE = 4096, 64 << 10, 3, "1970-01-01T00:00:00Z"
@@ -96,9 +96,12 @@ def records(pages: DataFrame, records_per_file: int = RECORDS_PER_FILE, dictiona
     """
     spec = pages.select(pages["page_id"].cast("long").alias("page_id"), "url", "html")
     files = max(1, -(-spec.count() // records_per_file))
-    dealt = spec.withColumn("file", F.pmod(F.xxhash64("url", "page_id"), F.lit(files)).cast("int"))
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, table = TaskContext.get().partitionId(), list(batches)
+        if not sum(b.num_rows for b in table):
+            return
+        table = pa.Table.from_batches(table)
         rows = sorted(zip(*(table.column(c).to_pylist() for c in ("page_id", "url", "html"))), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[2] is None, r[2] or ""))
         raw = [record(*r) for r in rows]
         dictionary = train(raw, dictionary_bytes)
@@ -107,11 +110,11 @@ def records(pages: DataFrame, records_per_file: int = RECORDS_PER_FILE, dictiona
         sizes, at = [len(f) for f in frames], [0]
         for n in sizes:
             at.append(at[-1] + n)
-        columns = [[table.column("file")[0].as_py()] * len(frames), range(len(frames)), [None, *(r[0] for r in rows)], at[:-1], sizes, frames]
+        columns = [[number] * len(frames), range(len(frames)), [None, *(r[0] for r in rows)], at[:-1], sizes, frames]
         types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return dealt.groupBy("file").applyInArrow(run, SCHEMA)
+    return spec.repartition(files, "url", "page_id").mapInArrow(run, SCHEMA)
 
 
 def write_files(frames: DataFrame, folder: str) -> DataFrame:
