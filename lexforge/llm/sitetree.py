@@ -40,7 +40,6 @@ _RAW = frozenset("script style noscript template svg".split())
 _BLOCK = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section table tbody td tfoot th thead title tr ul".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = _BLOCK - {"br", "td", "th", "li", "option", "body", "html", "head", "title"}
-_SPACE = re.compile(r"\s+")
 
 
 class Page:
@@ -65,7 +64,7 @@ class Page:
         tags = ["#root"]
 
         def text(s: str) -> None:
-            s = _SPACE.sub(" ", html_lib.unescape(s)).strip()
+            s = " ".join(html_lib.unescape(s).split())
             if s:
                 self._add("#text", open_[-1], s)
 
@@ -146,7 +145,7 @@ class Page:
                     parts.append("\n")
                     stack.append(-1)
                 stack += reversed(self.children[k])
-        lines = (_SPACE.sub(" ", x).strip() for x in re.sub(r"\n+", "\n", " ".join(parts).replace(" \n", "\n")).split("\n"))
+        lines = (" ".join(x.split()) for x in " ".join(parts).split("\n"))
         return "\n".join(x for x in lines if x), cut
 
 
