@@ -315,4 +315,4 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, **options: int) ->
 
 
 def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(documents(spark, sf_dir)).select("doc_id", "start_word", "end_word", "first_doc")
+    return repeats(documents(spark, sf_dir)).select("doc_id", "start_word", "end_word", F.col("first_doc").alias("first_doc_id"))
