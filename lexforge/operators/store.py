@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexforge.functions import text as tx
-from lexforge.functions import vector as vx
 
 
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -108,14 +107,6 @@ def delete_links_of_notes(links: DataFrame, chunks: DataFrame, gone: DataFrame)
     return links.join(own.select(F.col("id").alias("src")), "src", "left_anti").join(own.select(F.col("id").alias("tgt")), "tgt", "left_anti").select(*links.columns)
 
 
-def find_links(embeddings: DataFrame, threshold: float) -> DataFrame:
-    """links between all chunks whose cosine is at least threshold (src before tgt). Every pair is compared: for small stores."""
-    v = embeddings.select("chunk_id", vx.as_double(F.col("vector")).alias("v"))
-    a, b = v.select(F.col("chunk_id").alias("src"), F.col("v").alias("a")), v.select(F.col("chunk_id").alias("tgt"), F.col("v").alias("b"))
-    pairs = a.join(b, F.col("src") < F.col("tgt")).withColumn("similarity", vx.cosine(F.col("a"), F.col("b")))
-    return pairs.where(F.col("similarity") >= threshold).select("src", "tgt", "similarity", F.lit("autocorrelation").alias("link_type"))
-
-
 def stats(**tables: DataFrame) -> DataFrame:
     rows = [t.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows") for name, t in tables.items()]
     out = rows[0]

@@ -61,12 +61,6 @@ def vec_threshold(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
-@query("select a.chunk_id src, b.chunk_id tgt, round(list_cosine_similarity(a.vector::double[], b.vector::double[]), 6) similarity, 'autocorrelation' link_type from (select vec_id chunk_id, embedding vector from embeddings) a join (select vec_id chunk_id, embedding vector from embeddings) b on a.chunk_id < b.chunk_id where list_cosine_similarity(a.vector::double[], b.vector::double[]) >= 0.9")
-def find_links(spark: SparkSession, d: str) -> DataFrame:
-    found = store.find_links(_v(spark, d).select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), 0.9)
-    return found.withColumn("similarity", F.round("similarity", 6))
-
-
 # sources and sinks -------------------------------------------------------------------------------
 
 _PARSE = r"""parsed as (select stem, case when raw like '---%' then regexp_extract(raw, '(?s)^---\n(.*?)\n---\n', 1) else '' end f, regexp_replace(case when raw like '---%' then regexp_replace(raw, '(?s)^---\n.*?\n---\n', '') else raw end, '^\s+|\s+$', '', 'g') body from raw),
