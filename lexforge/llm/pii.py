@@ -27,12 +27,12 @@ KEY, ROUNDS = b"replace me in production", 10
 FIRST, LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 _FOUND = re.compile(
     r"""(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@(?=[A-Za-z0-9-]+\.)[A-Za-z0-9.-]*[A-Za-z]{2})
-    |(?P<iban>(?<!\w)[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?!\w))
+    |(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w))
     |(?P<iso>(?<![\w-])\d{4}(?P<a>[-/.])\d{2}(?P=a)\d{2}(?![\w-]))
     |(?P<dmy>(?<![\w/.-])\d{2}(?P<b>[-/.])\d{2}(?P=b)\d{4}(?![\w-]))
     |(?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w])(?!\.\d))
     |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
-    |(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)
+    |(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:(?![ ]?\d{4}[ -]\d{4}[ -]\d{4})[ .-]?\d{2,4}){1,4}(?!\w)
         |(?<!\w)\(\d{3}\)[ ]?\d{3}[-. ]\d{4}(?!\w)|(?<![\w.-])\d{3}(?P<c>[-.])\d{3}(?P=c)\d{4}(?![\w-]))
     |(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?P<d>[ -])\d{4}(?P=d)\d{4}(?P=d)\d{1,7}|\d{4}(?P<e>[ -])\d{6}(?P=e)\d{5})(?![\w-]))""",
     re.X | re.A,
@@ -89,8 +89,9 @@ def _iban(s: str, key: bytes, back: bool) -> str | None:
     def check(country: str, bban: str) -> str:
         return f"{98 - int(''.join(str(int(c, 36)) for c in bban + country + '00')) % 97:02d}"
 
-    country, bban = s[:2], s[4:]
-    if check(country, bban) != s[2:4]:
+    plain = s.replace(" ", "")
+    country, bban = plain[:2], plain[4:]
+    if len(plain) < 15 or check(country, bban) != plain[2:4]:
         return None
     radix = [10 if c.isdigit() else 26 for c in bban]
     value, size = 0, 1
@@ -100,7 +101,8 @@ def _iban(s: str, key: bytes, back: bool) -> str | None:
     for r in reversed(radix):
         value, x = divmod(value, r)
         out = (str(x) if r == 10 else chr(65 + x)) + out
-    return country + check(country, out) + out
+    it = iter(country + check(country, out) + out)
+    return "".join(c if c == " " else next(it) for c in s)
 
 
 def _ssn(s: str, key: bytes, back: bool) -> str | None:
@@ -177,6 +179,7 @@ def _email(s: str, key: bytes, back: bool) -> str:
     return "".join((next(out).upper() if c.isupper() else next(out)) if c.isascii() and c.isalnum() else c for c in local) + "@" + host
 
 
+_LAST = re.compile(r"(.*\w)[ .-]+\w+\)?\Z", re.S)
 _KINDS = {"email": _email, "iban": _iban, "iso": _iso, "dmy": _dmy, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
@@ -186,9 +189,16 @@ def pseudonymise(text: str, key: bytes = KEY, back: bool = False) -> tuple[str,
 
     def put(m: re.Match) -> str:
         nonlocal count
-        new = _KINDS[m.lastgroup](m[0], key, back)
-        count += new is not None
-        return m[0] if new is None else new
+        value, change = m[0], _KINDS[m.lastgroup]
+        new = change(value, key, back)
+        while new is None and m.lastgroup in ("iban", "phone") and (cut := _LAST.match(value)):
+            value = cut[1]  # the last group may belong to what follows
+            new = change(value, key, back)
+        if new is None:
+            return m[0]
+        rest, more = pseudonymise(m[0][len(value) :], key, back) if value != m[0] else ("", 0)
+        count += 1 + more
+        return new + rest
 
     return _FOUND.sub(put, text), count
 

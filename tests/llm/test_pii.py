@@ -24,13 +24,14 @@ def card(rng, n=16):
 def test_valid_values_change_and_stay_valid():
     rng = random.Random(3)
     values = [card(rng) for _ in range(40)] + [card(rng, 15)] + [f"+1 ({rng.randint(100, 999)}) 555-{rng.randint(1000, 9999)}" for _ in range(20)]
-    values += ["97.51.17.173", "2020-02-29", "31/12/1999", "12/31/1999", "123-45-6789", "GB82WEST12345698765432", "ana.b7@mail7.example.com", "4111 1111 1111 1111", "1999.12.31"]
+    values += ["97.51.17.173", "2020-02-29", "31/12/1999", "12/31/1999", "123-45-6789", "GB82WEST12345698765432", "ana.b7@mail7.example.com", "4111 1111 1111 1111", "1999.12.31", "GB82 WEST 1234 5698 7654 32", "+49 30 1234567", "+44 20 7946 0958"]
     for v in values:
         for text in (f"call {v} now", f"({v})", v):
             new, n = P.pseudonymise(text)
             assert n == 1 and new != text, text
             assert P.pseudonymise(new, back=True) == (text, 1)
             assert P.pseudonymise(new)[1] == 1  # valid again
+    assert P.pseudonymise("+49 30 1234567 4845-1681-1440-7329 GB82 WEST 1234 5698 7654 32 THE END")[1] == 3
     one, two = P.pseudonymise("4111 1111 1111 1111")[0], P.pseudonymise("4111111111111111")[0]
     assert one.replace(" ", "") == two  # linked whatever the punctuation
 
