@@ -13,14 +13,15 @@ for _c in (chr(k) for k in range(0xC0, 0x250)):
     if len(_d) == 1 and _d != _c:
         _BASE.append(_c)
         _PLAIN.append(_d)
+_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _MARKS = r"[̀-ͯ]"
 VERBS = ("implementa", "crea", "desarrolla", "construye", "diseña", "refactoriza", "programa", "escribe", "build", "create", "implement", "develop", "design", "write", "refactor")
 APPROVALS = ("si", "sí", "ok", "vale", "dale", "adelante", "aprobado", "apruebo", "yes", "y", "go", "approve", "approved")
 
 
 def strip(c: Column) -> Column:
-    """Without white space at both ends, Unicode's included (trim() takes blanks only)."""
-    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+    """Without white space at both ends, Unicode's included (trim() alone takes blanks only)."""
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def token_estimate(c: Column) -> Column:

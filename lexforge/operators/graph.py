@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -25,10 +26,10 @@ def levels(tasks: DataFrame) -> DataFrame:
 
 
 def order(tasks: DataFrame) -> DataFrame:
-    """(graph, id, place, level, in_cycle): first-in first-out topological order, roots by id; tasks of or behind a cycle have no place. Graphs are small: one is one group."""
+    """(graph, id, place, level, in_cycle): first-in first-out topological order, roots by id; tasks of or behind a cycle have no place. A graph is small: one row of its tasks, many rows a batch."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        needs = {r.id: [d for d in dict.fromkeys(r.depends_on)] for r in rows.itertuples()}
+    def place_all(graph: int, ids: list[str], depends: list[list[str]]) -> list[tuple]:
+        needs = {k: list(dict.fromkeys(d)) for k, d in zip(ids, depends)}
         left = {k: sum(d in needs for d in v) for k, v in needs.items()}
         after: dict[str, list[str]] = {k: [] for k in needs}
         for k in needs:
@@ -43,9 +44,15 @@ def order(tasks: DataFrame) -> DataFrame:
                 left[x] -= 1
                 if left[x] == 0:
                     ready.append(x)
-        return pd.DataFrame([(rows.graph.iloc[0], k, place.get(k), level.get(k), k not in place) for k in needs], columns=["graph", "id", "place", "level", "in_cycle"]).astype({"place": "Int32", "level": "Int32"})
+        return [(graph, k, place.get(k), level.get(k), k not in place) for k in needs]
 
-    return tasks.select("graph", "id", "depends_on").groupBy("graph").applyInPandas(run, "graph long, id string, place int, level int, in_cycle boolean")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = [x for g, r in zip(f["graph"], f["r"]) for x in place_all(g, [t["id"] for t in r], [[] if t["depends_on"] is None else list(t["depends_on"]) for t in r])]
+            yield pd.DataFrame(out, columns=["graph", "id", "place", "level", "in_cycle"]).astype({"place": "Int32", "level": "Int32"})
+
+    grouped = tasks.groupBy("graph").agg(F.sort_array(F.collect_list(F.struct("id", "depends_on"))).alias("r"))
+    return grouped.mapInPandas(run, "graph long, id string, place int, level int, in_cycle boolean")
 
 
 def ready(tasks: DataFrame) -> DataFrame:
