@@ -34,17 +34,14 @@ def current(spark: SparkSession, table: str) -> DataFrame:
     return store.latest(spark.read.parquet(table), ["id"], "batch").drop("batch")
 
 
-def cached_stream(log: DataFrame, capacity: int = 50, peek: int = 3, exact: bool = False, idle_ms: int = 3_600_000) -> DataFrame:
-    """session, seq, hit, served for a stream of (session, seq, words, results); a session's entries are forgotten after an idle time.
+def cached_stream(log: DataFrame, capacity: int = 50, peek: int = 3, exact: bool = False) -> DataFrame:
+    """session, seq, hit, served for a stream of (session, seq, words, results); a session keeps up to capacity entries.
 
     State is the list of (key, results) in the order of their last use, replayed into a tree for each
     batch of the session: entries, not tree shape, survive between batches.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         session = cache.Session(capacity, peek, exact)
         for k, v in zip(*(state.get if state.exists else ([], []))):
             session.tree.insert(k, list(v))
@@ -55,7 +52,6 @@ def cached_stream(log: DataFrame, capacity: int = 50, peek: int = 3, exact: bool
             out.append((key[0], r.seq, hit, served))
         keys = sorted(session.tree.keys(), key=lambda k: used.get(k, -1))
         state.update((keys, [list(session.tree._find(k)[0][1]) for k in keys]))
-        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["session", "seq", "hit", "served"])
 
-    return log.groupBy("session").applyInPandasWithState(step, "session long, seq long, hit boolean, served array<string>", "keys array<string>, held array<array<string>>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return log.groupBy("session").applyInPandasWithState(step, "session long, seq long, hit boolean, served array<string>", "keys array<string>, held array<array<string>>", "append", GroupStateTimeout.NoTimeout)
