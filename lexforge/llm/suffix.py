@@ -7,6 +7,7 @@ under the hash of their anchor: for each anchor a document gives the stretch of
 min_words-windows with that anchor cover, 70 words on average.
 
 Stretches that are equal as wholes are settled at once: all but the first document's are repeats.
+What the sort finds in the one copy it gets of them holds for every other, in the same document too.
 Of each different stretch under one anchor one copy goes to a shard chosen by the anchor; there the
 stretches, each ended by a symbol of its own, are concatenated and sorted by external induced sorting
 (lexforge.llm.induced), and runs of suffixes with common prefixes of min_words and more give the
@@ -93,18 +94,18 @@ def _stretches(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
     return docs.mapInArrow(scan, _ANCHOR)
 
 
-_FOUND = "sort boolean, anchor long, doc_id long, version long, lo int, hi int, first_doc long"
+_FOUND = "sort boolean, anchor long, doc_id long, version long, lo int, hi int, first_doc long, first_version long, first_lo int"
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over stretches sorted by anchor, stretch and document: repeats of whole stretches (sort false), and one copy of each of several stretches under one anchor (sort true)."""
+    """Over stretches sorted by anchor, stretch and document: further copies of a whole stretch, in the first one's document too (sort false), and the first copy of each of several stretches under one anchor (sort true)."""
     names = [x.split()[0] for x in _FOUND.split(", ")]
     # carried on: the first row of the anchor that is still open, and the first row of its last stretch; whether the first was given out
     opened: list[np.ndarray] | None = None
     class_first, given = 0, False
 
-    def rows(sort: bool, c: list[np.ndarray], first: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), sort)), pa.array(c[0]), *(pa.array(x) for x in c[2:]), pa.array(first)], names)
+    def rows(sort: bool, c: list[np.ndarray], first: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(c[0]), sort)), pa.array(c[0]), *(pa.array(x) for x in c[2:]), *(pa.array(x) for x in first)], names)
 
     for b in batches:
         if not b.num_rows:
@@ -116,10 +117,12 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new_anchor = np.r_[True, c[0][1:] != c[0][:-1]]
         new_class = new_anchor | np.r_[True, c[1][1:] != c[1][:-1]]
         at = np.flatnonzero(new_class)
-        first = c[2][at][np.cumsum(new_class) - 1]
-        repeat = (c[2] > first) & (np.arange(len(first)) >= carried)
-        if repeat.any():
-            yield rows(False, [x[repeat] for x in c], first[repeat])
+        first = [x[at][np.cumsum(new_class) - 1] for x in c[2:5]]
+        # a row given twice is no copy of itself
+        copy = (c[2] != first[0]) | (c[3] != first[1]) | (c[4] != first[2])
+        copy[:carried] = False
+        if copy.any():
+            yield rows(False, [x[copy] for x in c], [x[copy] for x in first])
         # one row of each stretch, where its anchor has several
         anchor_at = np.flatnonzero(new_anchor)
         many = np.add.reduceat(new_class.astype(int), anchor_at) > 1
@@ -128,7 +131,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give = new_class & (many & across)[np.cumsum(new_anchor) - 1]
         give[:carried] &= not given
         if give.any():
-            yield rows(True, [x[give] for x in c], c[2][give])
+            yield rows(True, [x[give] for x in c], [x[give] for x in c[2:5]])
         # what stays open: the first row of the last anchor (until given), and the first of its last stretch
         a, k = int(anchor_at[-1]), int(at[-1])
         given = bool(many[-1])
@@ -162,7 +165,7 @@ def _shard(docs: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def sort_stretches(stretches: Iterator[tuple[int, int, int, np.ndarray]], folder: str, min_words: int, block: int, memory: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(doc_id, version, first word, first document) of each window of min_words words that also stands in an earlier document of the shard."""
+    """(doc_id, version, first word of the stretch, first word, first document) of each window of min_words words that also stands in an earlier document of the shard."""
     store = induced.Store(folder, memory)
     try:
         raw, known = induced.Spool(store), np.zeros(0, np.int64)
@@ -223,8 +226,10 @@ def sort_stretches(stretches: Iterator[tuple[int, int, int, np.ndarray]], folder
             starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
             first = np.repeat(np.minimum.reduceat(doc[owner], starts), np.diff(np.r_[starts, len(p)]))
             late = doc[owner] > first
+            if not late.any():
+                continue
             o = owner[late]
-            yield doc[o], version[o], low[o] + p[late] - begin[o], first[late]
+            yield doc[o], version[o], low[o], low[o] + p[late] - begin[o], first[late]
     finally:
         store.close()
 
@@ -243,7 +248,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, shard
     found = written(anchored.mapInArrow(_settle, _FOUND), "stretches")
     jobs = found.where("sort").select("anchor", "doc_id", "version", "lo", "hi").distinct()
     words = found.where("sort").agg(F.coalesce(F.sum(F.col("hi") - F.col("lo")), F.lit(0))).first()[0]
-    whole = found.where("not sort").select("doc_id", "version", F.col("lo").alias("s"), F.col("hi").alias("e"), F.col("first_doc").alias("f"))
+    copies = found.where("not sort")
+    whole = copies.where("doc_id > first_doc").select("doc_id", "version", F.col("lo").alias("s"), F.col("hi").alias("e"), F.col("first_doc").alias("f"))
     windows = whole
     if words:
         folder = shared_dir(spark) + "/lexforge-suffixes"
@@ -253,17 +259,20 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, shard
                 for b in batches:
                     yield from ((d, v, lo, np.frombuffer(w, np.uint64)) for d, v, lo, w in zip(*(b.column(c).to_pylist() for c in ("doc_id", "version", "lo", "words"))))
 
-            for d, v, s, f in sort_stretches(stretches(), folder, min_words, block, memory):
-                # windows of one document side by side make one stretch
-                order = np.lexsort((s, v, d))
-                d, v, s, f = d[order], v[order], s[order], f[order]
-                at = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (v[1:] != v[:-1]) | (s[1:] - s[:-1] > 1)]) if len(d) else np.zeros(0, int)
+            for d, v, lo, s, f in sort_stretches(stretches(), folder, min_words, block, memory):
+                # windows of one stretch side by side make one
+                order = np.lexsort((s, lo, v, d))
+                d, v, lo, s, f = d[order], v[order], lo[order], s[order], f[order]
+                at = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (v[1:] != v[:-1]) | (lo[1:] != lo[:-1]) | (s[1:] - s[:-1] > 1)]) if len(d) else np.zeros(0, int)
                 last = np.r_[at[1:], len(d)] - 1
                 least = np.minimum.reduceat(f, at) if len(at) else f
-                yield pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(v[at]), pa.array(s[at], pa.int32()), pa.array(s[last] + min_words, pa.int32()), pa.array(least)], ["doc_id", "version", "s", "e", "f"])
+                yield pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(v[at]), pa.array(lo[at], pa.int32()), pa.array(s[at], pa.int32()), pa.array(s[last] + min_words, pa.int32()), pa.array(least)], ["doc_id", "version", "lo", "s", "e", "f"])
 
         shards = max(1, -(-words // shard_words))
-        windows = whole.union(_shard(spec, jobs).repartition(shards, "anchor").mapInArrow(sort, "doc_id long, version long, s int, e int, f long"))
+        late = written(_shard(spec, jobs).repartition(shards, "anchor").mapInArrow(sort, "doc_id long, version long, lo int, s int, e int, f long"), "windows")
+        of = late.select(F.col("doc_id").alias("first_doc"), F.col("version").alias("first_version"), F.col("lo").alias("first_lo"), "s", "e", "f")
+        again = copies.join(of, ["first_doc", "first_version", "first_lo"]).select("doc_id", "version", (F.col("s") - F.col("first_lo") + F.col("lo")).alias("s"), (F.col("e") - F.col("first_lo") + F.col("lo")).alias("e"), "f")
+        windows = whole.union(late.drop("lo")).union(again)
     own = Window.partitionBy("doc_id", "version")
     before = F.max("e").over(own.orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1))
     # stretches that touch without a window across their border are two repeats

@@ -117,3 +117,35 @@ def test_cut_words_and_drop(spark):
     assert kept.columns == docs.columns
     assert sorted((x.doc_id or -1, x.text or "", x.n_chars or 0) for x in kept.collect()) == sorted([(1, long, 0), (2, "start here end", 14), (4, "", 0), (-1, long, 7), (5, "", 0)])
     assert S.repeats(docs.limit(0)).count() == 0 and S.drop_repeats(docs.limit(0)).count() == 0
+
+
+def repeated_inside():
+    """Documents that hold one paragraph many times over, before and after one that holds it once; 5 has two texts."""
+    rng = random.Random(9)
+    p = " ".join("p%d" % rng.randint(0, 99) for _ in range(60))
+    other = lambda k: " ".join("o%d" % rng.randint(0, 999) for _ in range(k))
+    ten = " ".join([p] * 10)
+    return [(2, other(9) + " " + p + " " + other(9)), (5, ten), (5, "q " + ten + " " + other(5)), (7, ten + " " + other(20)), (8, other(70))]
+
+
+@pytest.mark.parametrize("options", [{}, {"shard_words": 300, "block": 16, "memory": 100}])
+def test_paragraph_repeated_inside_a_document(spark, options):
+    rows = repeated_inside()
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], SCHEMA)
+    version = {r.v: (r.doc_id, r.text) for r in docs.selectExpr("doc_id", "text", "xxhash64(text) v").collect()}
+    found = S.repeats(docs, 50, 8, **options).collect()
+    got, where = {}, {}
+    for d, t in rows:
+        w = t.split()
+        for k in range(len(w) - 49):
+            where.setdefault(tuple(w[k : k + 50]), set()).add(d)
+    for x in found:
+        got.setdefault(version[x.version], set()).update(range(x.start_word, x.end_word))
+        w = version[x.version][1].split()
+        assert x.first_doc == min(min(where[tuple(w[k : k + 50])]) for k in range(x.start_word, x.end_word - 49))
+    want = {}
+    for d, t in rows:
+        others = [r for r in rows if r[0] != d]
+        if d in (b := brute([*others, (d, t)], 50)):
+            want[d, t] = b[d]
+    assert got == want and len(got) == 3
