@@ -36,7 +36,9 @@ KEYWORDS = r"(?:pass(?:word|wd|phrase|code)?|pwd|passwort|contrase(?:ñ|n)a|secr
 CONTEXT = re.compile(r"(?i)(?<![a-z])(?P<word>(?:[a-z0-9]+[_-])*" + KEYWORDS + r")[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}(?:bearer\s+)?(?:\"(?P<dq>[^\"\n]+)\"|'(?P<sq>[^'\n]+)'|(?P<bare>[^\s\"'<>,;|]+))")
 REFERENCE = re.compile(r"\$?\{+[^{}]*\}+|\$[A-Za-z_]\w*|<[^<>]*>|%\w+%|\[[A-Z_ ]+\]")
 PROSE, PASS = re.compile(r"[^\W\d_]*[.!?)]*"), re.compile(r"(?i)pass|pwd|contrase")
-GATE = r"(?i)(pass|pwd|contrase|secret|token|credential|auth|bearer|key)[a-z_\-ñ]*[\"']?\s{0,3}[:=]"
+#: All of CONTEXT up to its sign, for RE2: there \s is ASCII only, and i has no dotless or dotted form
+_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+GATE = "(?i)" + KEYWORDS.replace("i", "[iıİ]") + r"[\"']?" + _BLANK + "{0,3}[:=]"
 WORDS = (
     "password 123456 12345678 qwerty abc123 111111 admin letmein welcome monkey dragon master login secret changeme default example test testing user root guest sample "
     "placeholder your yourpassword mypassword pass token apikey key api here insert none null true false xxx todo fixme redacted hidden removed demo dummy foo bar baz "

@@ -73,3 +73,19 @@ def test_odd_rows(spark):
     assert S.secret_values(d).count() == 0 and S.mask_secrets(d).columns == d.columns
     assert sorted(map(str, S.mask_secrets(d).collect())) == sorted(map(str, d.collect()))
     assert S.mask_secrets(d.limit(0)).count() == 0 and S.secret_values(d.limit(0)).count() == 0
+
+
+KINDS = ["api", "access", "secret", "auth", "client", "account", "encryption"]
+NAMES = ["pass", "password", "passwd", "passphrase", "passcode", "pwd", "passwort", "contraseña", "contrasena", "secret", "token", "credential", "credentials", "auth", "bearer", "private_key", "private-key", "privatekey", "key"]
+NAMES += [k + s + w for k in KINDS for s in ("", "_", "-") for w in ("key", "token", "secret", "id")]
+
+
+def test_gate_lets_every_context_through(spark):
+    value = "9xK2mPq77zLw"
+    blanks = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    texts = [n + sign + value for n in NAMES for sign in ("=", ": ", "' := ", '"=>')]
+    texts += [n.upper() + b + "= " + value for n in ("client_id", "key") for b in blanks] + ["apı_İd = " + value, "toKen=" + value]
+    assert all(S.findings(t) for t in texts)
+    d = table(spark, list(enumerate(texts)))
+    assert {r.doc_id for r in S.secret_values(d).where("is_secret").collect()} == set(range(len(texts)))
+    assert not S.mask_secrets(d).where(f"text like '%{value}%'").count()
