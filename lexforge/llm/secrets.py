@@ -1,7 +1,7 @@
 """Operator 5, secret scan: guess cost of the values in credential context.
 
-A value stands in credential context when a credential word (password, token, api_key, ...) and an
-assignment sign come before it. Its guess cost is the cheapest way to write it as a chain of
+A value stands in credential context when a credential word (password, token, api_key, ...; also as
+the end of a camel-case name and with a number behind) and an assignment sign come before it. Its guess cost is the cheapest way to write it as a chain of
 dictionary words (with case and look-alike variants), dates, repeats, keyboard walks and
 brute-force spans, found by dynamic programming over its positions. Values that cost at least
 min_log10 are secrets; cheaper ones are words, placeholders or masks and are left alone. References
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from lexforge.llm.common import documents, scan_texts
 
 MIN_LOG10, JOIN, THIS_YEAR = 7.0, 0.5, 2026
-KEYWORDS = r"(?:pass(?:word|wd|phrase|code)?|pwd|passwort|contrase(?:ñ|n)a|secret|token|credentials?|auth|bearer|private[_-]?key|(?:api|access|secret|auth|client|account|encryption)[_-]?(?:key|token|secret|id)|key)"
-CONTEXT = re.compile(r"(?i)(?<![a-z])(?P<word>(?:[a-z0-9]+[_-])*" + KEYWORDS + r")[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}(?:bearer\s+)?(?:\"(?P<dq>[^\"\n]+)\"|'(?P<sq>[^'\n]+)'|(?P<bare>[^\s\"'<>,;|]+))")
+KEYWORDS = r"(?:pass(?:word|wd|phrase|code)?|pwd|passwort|contrase(?:ñ|n)a|secret|token|credentials?|auth|bearer|authorization|private[_-]?key(?:[_-]?id)?|(?:api|access|secret|auth|client|account|encryption)[_-]?(?:key(?:[_-]?id)?|token|secret|id)|key(?:[_-]?id)?)(?:[_-]?[0-9]+)?"
+CONTEXT = re.compile(r"(?i)(?:(?<![a-z])|(?-i:(?<=[a-z])(?=[A-Z])))(?P<word>(?:[a-z0-9]+[_-])*" + KEYWORDS + r")[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}(?:(?:bearer|basic|token)\s+)?(?:\"(?P<dq>[^\"\n]+)\"|'(?P<sq>[^'\n]+)'|(?P<bare>[^\s\"'<>,;|]+))")
 REFERENCE = re.compile(r"\$?\{+[^{}]*\}+|\$[A-Za-z_]\w*|<[^<>]*>|%\w+%|\[[A-Z_ ]+\]")
 PROSE, PASS = re.compile(r"[^\W\d_]*[.!?)]*"), re.compile(r"(?i)pass|pwd|contrase")
 #: All of CONTEXT up to its sign, for RE2: there \s is ASCII only, and i has no dotless or dotted form

@@ -89,3 +89,13 @@ def test_gate_lets_every_context_through(spark):
     d = table(spark, list(enumerate(texts)))
     assert {r.doc_id for r in S.secret_values(d).where("is_secret").collect()} == set(range(len(texts)))
     assert not S.mask_secrets(d).where(f"text like '%{value}%'").count()
+
+
+@pytest.mark.parametrize("context", ["dbPassword=", "secretAccessKey=", "aws_access_key_id=", "Authorization: Bearer ", "Authorization: Basic ", "authorization: token ", "password2=", "api_key1: ", "clientSecret_2 = ", "private_key_id: ", '"accessKeyId": '])
+def test_names_of_contexts(context):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    text = "x " + context + "9xK2mPq77zLw y"
+    assert [(text[a:b], secret) for a, b, _, _, secret in S.findings(text)] == [("9xK2mPq77zLw", True)]
+    assert pc.match_substring_regex(pa.array([text]), S.GATE).to_pylist() == [True]
