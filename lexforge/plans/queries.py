@@ -616,7 +616,7 @@ def task_progress(spark: SparkSession, d: str) -> DataFrame:
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
     c = fx.read(spark, d, "conversations")
-    words = F.slice(F.array_distinct(tx.tokens(F.lower("text"))), 1, 4)
+    words = F.array_distinct(tx.tokens(F.lower("text")))
     return c.select((F.col("conv_id") % 20).alias("session"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), words.alias("words"), F.array(F.concat(F.lit("c"), (F.col("turn") % 7).cast("string")), F.concat(F.lit("c"), (F.col("conv_id") % 9).cast("string"))).alias("results"))
 
 
@@ -639,6 +639,12 @@ def cache_exact(spark: SparkSession, d: str) -> DataFrame:
     return cache.repeats_exactly(log)
 
 
+@query(r"select session, seq, key, row_number() over (partition by session, key order by seq) > 1 and key <> '' hit from (select conv_id % 20 session, conv_id * 1000 + turn seq, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{Mn}_]{2,}'))), ' ') as key from conversations)")
+def cache_exact_whole(spark: SparkSession, d: str) -> DataFrame:
+    """cache_exact over all words of each message."""
+    return cache.repeats_exactly(_log(spark, d))
+
+
 @query()
 def prompt_context(spark: SparkSession, d: str) -> DataFrame:
     v = _v(spark, d).select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
