@@ -600,6 +600,12 @@ def task_ready(spark: SparkSession, d: str) -> DataFrame:
     return graph.ready(fx.tasks(spark, d)).select("graph", "id", "is_ready")
 
 
+@query("select t.graph, t.id, case when count(b.id) = 0 then max(w.lvl)::int end level from tasks t left join walk w on w.graph = t.graph and w.id = t.id left join behind b on b.graph = t.graph and b.id = t.id group by t.graph, t.id", _WALK, "behind as (select graph, id from looped where id = reach union select o.graph, o.id from looped o join looped c on c.graph = o.graph and c.id = o.reach and c.id = c.reach)")
+def dag_levels_whole(spark: SparkSession, d: str) -> DataFrame:
+    """dag_levels over all graphs; tasks of or behind a cycle have null."""
+    return graph.levels(fx.tasks(spark, d))
+
+
 @query()
 def next_task(spark: SparkSession, d: str) -> DataFrame:
     t = fx.tasks(spark, d)

@@ -1,4 +1,4 @@
-from lexforge.plans import queries
+from lexforge.plans import fixtures, queries
 
 
 def test_caches_take_all_words_of_a_message(spark, tmp_path):
@@ -8,3 +8,15 @@ def test_caches_take_all_words_of_a_message(spark, tmp_path):
     assert hits(queries.cache_simulation)[:2] == [False, True]
     assert hits(queries.cache_two_level)[:2] == [False, True]
     assert hits(queries.cache_exact_whole) == [False, False, False, True]
+
+
+def test_levels_of_all_graphs_equal_brute_force(spark):
+    data = "/root/testdata/sf0.001"
+    needs = {(r.graph, r.id): {(r.graph, x) for x in r.depends_on} for r in fixtures.tasks(spark, data).collect()}
+    level, found = {}, True
+    while found:
+        found = {k: max((level[x] + 1 for x in v if x in needs), default=0) for k, v in needs.items() if k not in level and all(x in level for x in v if x in needs)}
+        level |= found
+    got = {(r.graph, r.id): r.level for r in queries.dag_levels_whole(spark, data).collect()}
+    assert got == {k: level.get(k) for k in needs}
+    assert any(g % 10 == 4 and v is None for (g, _), v in got.items()) and any(g % 10 == 4 and v for (g, _), v in got.items())
