@@ -245,6 +245,13 @@ def text_scalars(spark: SparkSession, d: str) -> DataFrame:
     return fx.read(spark, d, "documents").select("doc_id", tx.token_estimate(t).alias("tokens"), tx.content_hash(t).alias("hash"), tx.slugify(head).alias("slug"), tx.plan_slug(head).alias("plan_slug"), tx.normalize(t).alias("plain"), tx.strip(t).alias("stripped"))
 
 
+@query(rf"select doc_id, coalesce(nullif({_SLUG.replace('T', 'text')}, ''), 'sin-titulo') slug, left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 30) plan_slug from documents")
+def text_slugs_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The slugs of text_scalars over the whole text."""
+    t = F.col("text")
+    return fx.read(spark, d, "documents").select("doc_id", tx.slugify(t).alias("slug"), tx.plan_slug(t).alias("plan_slug"))
+
+
 @query(rf"select doc_id, {_WORDS.replace('T', 'text')} words, array_to_string(list_sort(list_distinct({_WORDS.replace('T', 'lower(text)')})), ' ') cache_key from documents")
 def text_tokens(spark: SparkSession, d: str) -> DataFrame:
     return fx.read(spark, d, "documents").select("doc_id", tx.tokens(F.col("text")).alias("words"), tx.cache_key(F.col("text")).alias("cache_key"))

@@ -20,3 +20,10 @@ def test_levels_of_all_graphs_equal_brute_force(spark):
     got = {(r.graph, r.id): r.level for r in queries.dag_levels_whole(spark, data).collect()}
     assert got == {k: level.get(k) for k in needs}
     assert any(g % 10 == 4 and v is None for (g, _), v in got.items()) and any(g % 10 == 4 and v for (g, _), v in got.items())
+
+
+def test_slugs_of_the_whole_text(spark, tmp_path):
+    texts = ["word " * 30 + "End", "! " * 50 + "Late Title"]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in queries.text_slugs_whole(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert got == [(0, "word-" * 30 + "end", ("word_" * 6)[:30]), (1, "late-title", "late_title")]
