@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,24 +10,27 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lexforge.llm import textbuf as tb
 
-BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 64 << 20
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); where it is unset, as in tests, a temporary one is set."""
+    """The folder all executors share (spark.checkpoint.dir). Where it is unset, a local session gets a temporary one, and a cluster an error."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     given = spark.sparkContext.getCheckpointDir()
     if given:
         return given.rsplit("/", 1)[0]
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="lexforge-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -37,13 +41,42 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexforge-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most limit rows, else as it is, for a shuffled join. df should be a written table: it is counted."""
-    count = df.count() if rows is None else rows
-    return F.broadcast(df) if count <= limit else df
+def written_so_far() -> int:
+    """A mark for release()."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Deletes the folders that written() made from mark since up to mark until. Nothing that reads them may run later."""
+    for path in _WRITTEN[since:until]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _WRITTEN[since:until]
+
+
+def _width(kind: T.DataType, c: Column) -> Column:
+    """About the bytes of one value."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        each = len(kind.elementType.fields) + 2 if isinstance(kind.elementType, T.StructType) else 1
+        return F.when(c.isNull(), 0).otherwise(F.size(c)) * 8 * each + 24
+    return F.lit(8)
+
+
+def table_bytes(df: DataFrame) -> int:
+    """About the bytes of all rows, from the widths of all values, counted. df should be a written table."""
+    each = sum((_width(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields), F.lit(16))
+    return df.agg(F.coalesce(F.sum(each.cast("long")), F.lit(0))).first()[0]
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows take at most limit bytes, else as it is, for a shuffled join. df should be a written table: it is counted."""
+    return F.broadcast(df) if table_bytes(df) <= limit else df
 
 
 def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
@@ -57,6 +90,7 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
         name,
     )
     for _ in range(max_rounds):
+        mark = written_so_far()
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -66,6 +100,7 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
         after = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
         a, b = (x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first() for x in (pairs, after))
         pairs = after
+        release(edges.sparkSession, mark - 1, mark)
         if a == b:
             break
     else:

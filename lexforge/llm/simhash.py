@@ -237,7 +237,7 @@ def keep_one(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     rows = again.count()
     if not rows:
         return left
-    side = small_side(again, rows)
+    side = small_side(again)
     single = left.join(side, left["doc_id"] == F.col("__lx_again"), "left_anti")
     return single.union(left.join(side, left["doc_id"] == F.col("__lx_again"), "left_semi").dropDuplicates())
 

@@ -300,7 +300,7 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, **options: int) ->
     doc_id are each cut by their own text's spans.
     """
     spans = written(repeats(docs, min_words, **options).groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("__lx_spans")), "repeats")
-    side = small_side(spans.select(F.col("doc_id").alias("__lx_id"), F.col("version").alias("__lx_version"), "__lx_spans"), limit=50_000)
+    side = small_side(spans.select(F.col("doc_id").alias("__lx_id"), F.col("version").alias("__lx_version"), "__lx_spans"))
     keyed = docs.withColumn("__lx_text_id", F.xxhash64("text"))
     joined = keyed.join(side, (docs["doc_id"] == F.col("__lx_id")) & (F.col("__lx_text_id") == F.col("__lx_version")), "left")
 
