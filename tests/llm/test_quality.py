@@ -31,3 +31,12 @@ def test_odd_rows(spark):
     out = Q.drop_frequent_lines(d)
     assert out.columns == [*d.columns, "removed_lines"] and out.count() == d.count()
     assert Q.drop_frequent_lines(d.limit(0)).count() == 0
+
+
+def test_shuffled_way_and_a_clashing_column(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("*", "'x' removed_lines", "1 host")
+    want = sorted(map(str, Q.drop_frequent_lines(docs).collect()))
+    assert sorted(map(str, Q.drop_frequent_lines(docs, broadcast_bytes=-1).collect())) == want
+    assert Q.drop_frequent_lines(docs).columns == [*docs.drop("removed_lines").columns, "removed_lines"]
+    again = Q.drop_frequent_lines(Q.drop_frequent_lines(docs))
+    assert again.columns == [*docs.drop("removed_lines").columns, "removed_lines"] and again.count() <= len(want)
