@@ -7,8 +7,11 @@ different values different ones, and whoever holds the key can undo it. Values t
 validation (a card number with a wrong check digit) are no personal data and stay.
 
 Formats: payment cards (check digit kept valid, separators kept), IBANs (country kept, check
-digits valid), US social security numbers, telephone numbers (country code and punctuation kept),
-IPv4 addresses, calendar dates from 1900 to 2099, and the local part of e-mail addresses.
+digits valid), US social security numbers, telephone numbers (the E.164 country code and punctuation kept),
+IPv4 addresses, calendar dates from 1900 to 2099 (with a time behind too, which stays), and the local
+part of e-mail addresses. All shapes of a date share one permutation, which moves dates up to the
+12th of a month among themselves and later ones among themselves, so that a date stays linked whether it is
+written year, day or month first and no pseudonym can be read in two ways where its value could not.
 """
 
 from __future__ import annotations
@@ -23,23 +26,25 @@ from pyspark.sql import functions as F
 
 from lexforge.llm.common import documents, scan_texts
 
-KEY, ROUNDS = b"replace me in production", 10
+ROUNDS = 10
+#: Country codes of one and two digits; all others have three
+_CODES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
 FIRST, LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 _FOUND = re.compile(
     r"""(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@(?=[A-Za-z0-9-]+\.)[A-Za-z0-9.-]*[A-Za-z]{2})
     |(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w))
-    |(?P<iso>(?<![\w-])\d{4}(?P<a>[-/.])\d{2}(?P=a)\d{2}(?![\w-]))
+    |(?P<iso>(?<![\w-])\d{4}(?P<a>[-/.])\d{2}(?P=a)\d{2}(?!(?!T\d\d)[\w-]))
     |(?P<dmy>(?<![\w/.-])\d{2}(?P<b>[-/.])\d{2}(?P=b)\d{4}(?![\w-]))
     |(?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w])(?!\.\d))
     |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
-    |(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:(?![ ]?\d{4}[ -]\d{4}[ -]\d{4})[ .-]?\d{2,4}){1,4}(?!\w)
+    |(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:(?![ ]?\d{4}[ -]\d{4}[ -]\d{4})[ .-]?\d{2,4}){1,4}(?!\w)
         |(?<!\w)\(\d{3}\)[ ]?\d{3}[-. ]\d{4}(?!\w)|(?<![\w.-])\d{3}(?P<c>[-.])\d{3}(?P=c)\d{4}(?![\w-]))
     |(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?P<d>[ -])\d{4}(?P=d)\d{4}(?P=d)\d{1,7}|\d{4}(?P<e>[ -])\d{6}(?P=e)\d{5})(?![\w-]))""",
     re.X | re.A,
 )
 
 
-def permute(value: int, size: int, tweak: str, key: bytes = KEY, back: bool = False) -> int:
+def permute(value: int, size: int, tweak: str, key: bytes, back: bool = False) -> int:
     """A keyed permutation of range(size): a Feistel network on Z_a x Z_b with a * b just over size, walked until it lands inside."""
     if size < 2:
         return value
@@ -117,7 +122,7 @@ def _ssn(s: str, key: bytes, back: bool) -> str | None:
 
 def _phone(s: str, key: bytes, back: bool) -> str | None:
     d = re.sub(r"\D", "", s)
-    code = (1 if d[0] in "17" else 2) if s[0] == "+" else 0
+    code = next(n for n in (1, 2, 3) if n == 3 or d[:n] in _CODES) if s[0] == "+" else 0
     if not 10 - (s[0] == "+") * 2 <= len(d) <= 15:
         return None
     n = len(d) - code
@@ -141,7 +146,12 @@ def _ordinal(y: str, m: str, d: str) -> int | None:
 
 
 def _date(n: int, key: bytes, back: bool) -> datetime.date:
-    return datetime.date.fromordinal(FIRST + permute(n, LAST - FIRST + 1, "date", key, back))
+    early = datetime.date.fromordinal(FIRST + n).day < 13
+    while True:
+        n = permute(n, LAST - FIRST + 1, "date", key, back)
+        d = datetime.date.fromordinal(FIRST + n)
+        if (d.day < 13) == early:
+            return d
 
 
 def _iso(s: str, key: bytes, back: bool) -> str | None:
@@ -150,16 +160,10 @@ def _iso(s: str, key: bytes, back: bool) -> str | None:
 
 
 def _dmy(s: str, key: bytes, back: bool) -> str | None:
-    """Day first where that is a date; else month first, moved among the dates that cannot be read day first."""
-    n = _ordinal(s[6:], s[3:5], s[:2])
-    if n is not None:
-        return _date(n, key, back).strftime(f"%d{s[2]}%m{s[5]}%Y")
-    n = _ordinal(s[6:], s[:2], s[3:5])
-    while n is not None:
-        d = _date(n, key, back)
-        if d.day > 12:
-            return d.strftime(f"%m{s[2]}%d{s[5]}%Y")
-        n = d.toordinal() - FIRST
+    """Day first where that is a date, else month first."""
+    for shape, n in (("%d{}%m{}%Y", _ordinal(s[6:], s[3:5], s[:2])), ("%m{}%d{}%Y", _ordinal(s[6:], s[:2], s[3:5]))):
+        if n is not None:
+            return _date(n, key, back).strftime(shape.format(s[2], s[5]))
     return None
 
 
@@ -183,7 +187,7 @@ _LAST = re.compile(r"(.*\w)[ .-]+\w+\)?\Z", re.S)
 _KINDS = {"email": _email, "iban": _iban, "iso": _iso, "dmy": _dmy, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
-def pseudonymise(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, int]:
+def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, int]:
     """The text with pseudonyms (or, with back, the values again) and the number of values changed."""
     count = 0
 
@@ -203,7 +207,7 @@ def pseudonymise(text: str, key: bytes = KEY, back: bool = False) -> tuple[str,
     return _FOUND.sub(put, text), count
 
 
-def with_pseudonyms(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataFrame:
+def with_pseudonyms(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
     """docs with pseudonyms in text, n_chars (if there) of the new text, and n_pseudonyms.
 
     Null and empty texts stay and count 0; ids don't matter, so null and repeated ids are kept
@@ -221,4 +225,5 @@ def with_pseudonyms(docs: DataFrame, key: bytes = KEY, back: bool = False) -> Da
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_pseudonyms(documents(spark, sf_dir))
+    """The key is that of the session (lexforge.pii.key); the synthetic tables have one of their own."""
+    return with_pseudonyms(documents(spark, sf_dir), spark.conf.get("lexforge.pii.key", "synthetic tables").encode())
