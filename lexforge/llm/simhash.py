@@ -1,6 +1,7 @@
 """Operator 1, SimHash near-duplicates: byte-position inverted index with count filtering.
 
-A document's features are its words (lower case, split at white space and ASCII punctuation),
+A document's features are its words (lower case, split at white space and ASCII punctuation; in a
+script without blanks what stands between two punctuation marks is a word),
 weighted by the square root of their count. Its 128-bit SimHash is 16 bytes in 16 positions. Two
 fingerprints within max_distance bits agree in at least T = 16 - max_distance byte positions, as
 each differing bit spoils one byte at most. The inverted index is keyed by (positions, bytes at
@@ -12,9 +13,12 @@ from the number of fingerprints and the chance of agreement at each position, co
 (bytes are far from uniform within a language): it grows so that posting lists stay short; the
 result is the same for every r.
 
-Equal fingerprints are merged first, and a posting list gives edges enough to connect what it
-connects, not all pairs, so a group of thousands of copies costs about its own size. Near
-duplicates are then the connected components of the edges.
+Equal fingerprints are merged first into classes. A pair of classes shares several lists; it counts in the one
+with the least subset of all its shared bytes, so links are counted without a table of pairs, each exactly once. From
+the pairs of a batch of lists only a spanning forest goes on, so a group of thousands of near copies costs about
+its own size, and near duplicates are the connected components of the forests. A posting list of
+over list_rows classes is dealt into parts of about that size by hash, and every two parts meet in a
+group of their own, so no task holds a long list.
 """
 
 from __future__ import annotations
@@ -31,7 +35,9 @@ from pyspark.sql import functions as F
 from lexforge.llm import textbuf as tb
 from lexforge.llm.common import connected_components, documents, small_side, written
 
-BYTES, MAX_DISTANCE, ALL_PAIRS = 16, 13, 256
+BYTES, MAX_DISTANCE, LIST_ROWS, SHORT = 16, 13, 4096, 256
+_LOW = np.uint64(0x0101010101010101)
+_BLANK = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _LANES = np.array([sum(1 << (8 * j) for j in range(8) if b >> j & 1) for b in range(256)], dtype=np.uint64)
 
 
@@ -50,7 +56,7 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     at = np.flatnonzero(new)
     tf = np.diff(np.r_[at, len(h)])
     h, row = h[at], row[at]
-    weight = np.minimum(np.rint(np.sqrt(tf) * 4), 255).astype(np.int64)
+    weight = np.rint(np.sqrt(tf) * 4).astype(np.int64)
     # features of one weight of one document are counted together, in byte lanes of at most 255
     order = np.lexsort((weight, row))
     h, row, weight = h[order], row[order], weight[order]
@@ -77,7 +83,11 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, off = tb.buffers(pc.utf8_lower(b.column(1)))
+            texts = pc.utf8_lower(b.column(1))
+            wide = pc.match_substring_regex(texts, _BLANK)
+            if pc.any(wide).as_py():
+                texts = pc.if_else(wide, pc.replace_substring_regex(texts, _BLANK, " "), texts)
+            data, off = tb.buffers(texts)
             for lo, hi in tb.slices(off):
                 fp, count = fingerprints(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 ok = count > 0
@@ -126,106 +136,183 @@ def _bytes(fp: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), BYTES)
 
 
-def matches(a: np.ndarray, b: np.ndarray, max_distance: int) -> np.ndarray:
-    """Which rows of (n, 2) fingerprints are near: tally of shared positional bytes, then Hamming distance."""
-    x = a ^ b
-    out = (_bytes(x) == 0).sum(axis=1) >= BYTES - max_distance
-    at = np.flatnonzero(out)
-    out[at] = np.bitwise_count(x[at]).sum(axis=1) <= max_distance
+def matches(x: np.ndarray, y: np.ndarray, max_distance: int) -> np.ndarray:
+    """For which differences (x, y: the two halves' XOR) the fingerprints are near: tally of shared positional bytes, then Hamming distance."""
+    differ = np.zeros(x.shape, np.uint8)
+    for half in (x, y):
+        z = half | half >> np.uint64(4)
+        z |= z >> np.uint64(2)
+        z |= z >> np.uint64(1)
+        z &= _LOW
+        differ += np.bitwise_count(z)
+    at = np.flatnonzero(differ.ravel() <= max_distance)  # at least BYTES - max_distance bytes are shared
+    x, y = x.ravel()[at], y.ravel()[at]
+    return at[np.bitwise_count(x).astype(np.int64) + np.bitwise_count(y) <= max_distance]
+
+
+def least_subset(subsets: list[tuple[int, ...]]) -> np.ndarray:
+    """For each set of shared positions, as 16 bits, the number of the first subset inside it, or -1."""
+    every = np.arange(1 << BYTES)
+    out = np.full(1 << BYTES, -1, dtype=np.int32)
+    for number in range(len(subsets) - 1, -1, -1):
+        mask = sum(1 << p for p in subsets[number])
+        out[every & mask == mask] = number
     return out
 
 
-def list_edges(fp: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs that connect all of one long posting list that are near, by breadth-first search over what isn't reached yet."""
-    left = np.arange(len(fp))
-    a, b = [], []
-    while len(left):
-        frontier, left = [left[0]], left[1:]
-        while frontier and len(left):
-            i = frontier.pop()
-            near = matches(np.broadcast_to(fp[i], (len(left), 2)), fp[left], max_distance)
-            found = left[near]
-            a.append(np.full(len(found), i))
-            b.append(found)
-            frontier += found.tolist()
-            left = left[~near]
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
-
-
-def posting_edges(key: np.ndarray, fp: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of near fingerprints inside each run of equal keys (key is sorted)."""
+def forest(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the pairs, fewer than there are ends, that connect the same ends."""
+    if len(i) < 2:
+        return i, j
+    ends, flat = np.unique(np.r_[i, j], return_inverse=True)
+    a, b = flat[: len(i)], flat[len(i) :]
+    root, kept = np.arange(len(ends)), []
+    number = np.arange(len(i))
+    while True:
+        x, y = root[a], root[b]
+        open_ = x != y
+        a, b, x, y, number = a[open_], b[open_], x[open_], y[open_], number[open_]
+        if not len(a):
+            break
+        high, one = np.unique(np.maximum(x, y), return_index=True)
+        kept.append(number[one])
+        root[high] = np.minimum(x, y)[one]
+        while (up := root[root]).tolist() != root.tolist():
+            root = up
+    kept = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+    return i[kept], j[kept]
+
+
+def posting_pairs(key: np.ndarray, side: np.ndarray, fp: np.ndarray, docs: np.ndarray, numbers: np.ndarray, least: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, n) of runs of equal keys: index pairs that connect the near classes, and for each the documents of the classes near it.
+
+    side 0 meets all of its run, side 1 only side 2. numbers is the subset of each row's list; pairs whose least subset is
+    another one are left to that list.
+    """
     at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[at, len(key)])
-    left, right = [], []
-    for s, n in zip(at[size > ALL_PAIRS].tolist(), size[size > ALL_PAIRS].tolist()):
-        a, b = list_edges(fp[s : s + n], max_distance)
-        left.append(a + s)
-        right.append(b + s)
+    links = np.zeros(len(key), dtype=np.int64)
+    x, y = np.ascontiguousarray(fp[:, 0]), np.ascontiguousarray(fp[:, 1])
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def take(i: np.ndarray, j: np.ndarray) -> None:
+        shared = np.packbits(_bytes(fp[i] ^ fp[j]) == 0, axis=1, bitorder="little").view(np.uint16)[:, 0]
+        own = least[shared] == numbers[i]
+        i, j = i[own], j[own]
+        np.add.at(links, i, docs[j])
+        np.add.at(links, j, docs[i])
+        left.append(i)
+        right.append(j)
+        if sum(map(len, left)) > 1 << 20:
+            i, j = forest(np.concatenate(left), np.concatenate(right))
+            left[:], right[:] = [i], [j]
+
+    whole = (size > SHORT) | (side[at] > 0)
+    for s, n in zip(at[whole].tolist(), size[whole].tolist()):
+        cross = side[s] > 0
+        cut = int(np.searchsorted(side[s : s + n], 2)) if cross else n
+        step = max(1, (1 << 18) // n)
+        for lo in range(0, cut, step):
+            hi = min(lo + step, cut)
+            first = cut if cross else lo + 1
+            if first >= n:
+                continue
+            hit = matches(x[s + lo : s + hi, None] ^ x[None, s + first : s + n], y[s + lo : s + hi, None] ^ y[None, s + first : s + n], max_distance)
+            i, j = np.divmod(hit, n - first)
+            i, j = i + s + lo, j + s + first
+            later = j > i
+            if later.any():
+                take(i[later], j[later])
     run = np.repeat(np.arange(len(at)), size)
-    in_short = (size <= ALL_PAIRS)[run]
-    for d in range(1, int(size[size <= ALL_PAIRS].max(initial=1))):
-        i = np.flatnonzero(in_short[:-d] & (run[:-d] == run[d:])) if d < len(key) else np.zeros(0, int)
+    short = ~whole[run]
+    for d in range(1, int(size[~whole].max(initial=1))):
+        i = np.flatnonzero(short[:-d] & (run[:-d] == run[d:])) if d < len(key) else np.zeros(0, int)
         if not len(i):
             break
-        i = i[matches(fp[i], fp[i + d], max_distance)]
-        left.append(i)
-        right.append(i + d)
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
+        i = i[matches(x[i] ^ x[i + d], y[i] ^ y[i + d], max_distance)]
+        if len(i):
+            take(i, i + d)
+    return *forest(np.concatenate(left), np.concatenate(right)), links
 
 
-def near_edges(prints: DataFrame, max_distance: int, r: int) -> DataFrame:
-    """(a, b): edges among distinct fingerprints (doc_id, hi, lo) that join exactly those linked by distances within max_distance."""
+def near_classes(classes: DataFrame, max_distance: int, r: int, list_rows: int = LIST_ROWS) -> DataFrame:
+    """(a, b, n) over distinct fingerprints (rep, hi, lo, docs): edges that join exactly those linked by distances within max_distance (n null), and for each rep (b null) n documents of other classes within it, in parts to be summed."""
     subsets = covering(max_distance, r)
+    least = least_subset(subsets)
+    posting = "key long, rep long, hi long, lo long, docs long"
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [b.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-            parts = _bytes(np.stack(ids[1:], axis=1))
+            parts = _bytes(np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2)], axis=1))
             for number, subset in enumerate(subsets):
                 key = np.full(len(parts), number, dtype=np.uint64)
                 for p in subset:
                     key = key << np.uint64(8) | parts[:, p]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *map(pa.array, ids)], ["key", "doc_id", "hi", "lo"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *b.columns], ["key", "rep", "hi", "lo", "docs"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
 
-        def edges(cols: list[np.ndarray]) -> pa.RecordBatch:
-            i, j = posting_edges(cols[0], np.stack(cols[2:], axis=1).view(np.uint64), max_distance)
-            a, b = cols[1][i], cols[1][j]
-            pair = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+        def found(cols: list[np.ndarray]) -> pa.RecordBatch:
+            key, part, side, rep, hi, lo, docs = cols
+            run = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+            i, j, n = posting_pairs(run, side, np.stack([hi, lo], axis=1).view(np.uint64), docs, (key.view(np.uint64) >> np.uint64(8 * r)).astype(np.int64), least, max_distance)
+            at = np.flatnonzero(n)
+            who, back = np.unique(rep[at], return_inverse=True)
+            total = np.bincount(back, n[at], len(who)).astype(np.int64)
+            none = np.zeros(len(i) + len(who), dtype=bool)
+            none[: len(i)] = True
+            return pa.RecordBatch.from_arrays([pa.array(np.r_[rep[i], who]), pa.array(np.r_[rep[j], who], mask=~none), pa.array(np.r_[rep[i], total], mask=none)], ["a", "b", "n"])
 
         for b in batches:
-            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols)]
             if not len(cols[0]):
                 continue
-            whole = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key may go on in the next batch
+            other = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
+            whole = int(other[-1]) + 1 if len(other) else 0  # the last list may go on in the next batch
             if whole:
-                yield edges([x[:whole] for x in cols])
+                yield found([x[:whole] for x in cols])
             rest = [x[whole:] for x in cols]
         if rest is not None and len(rest[0]):
-            yield edges(rest)
+            yield found(rest)
 
-    posted = prints.mapInArrow(post, "key long, doc_id long, hi long, lo long")
-    return posted.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(link, "a long, b long").distinct()
+    posted = classes.select("rep", "hi", "lo", "docs").mapInArrow(post, posting)
+    hot = written(posted.groupBy("key").count().where(F.col("count") > list_rows).select("key", F.ceil(F.col("count") / list_rows).alias("parts")), "hot")
+    columns = ("rep", "hi", "lo", "docs")
+    if hot.isEmpty():
+        dealt = posted.select("key", F.lit(0).cast("long").alias("part"), F.lit(0).alias("side"), *columns)
+    else:
+        joined = posted.join(small_side(hot), "key", "left").withColumn("own", F.pmod(F.xxhash64("rep", "key"), F.coalesce("parts", F.lit(1).cast("long"))))
+        met = joined.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1)))
+        part = F.least("own", "other") * F.coalesce("parts", F.lit(1)) + F.greatest("own", "other")
+        side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+        dealt = met.select("key", part.alias("part"), side.alias("side"), *columns)
+    return dealt.repartition("key", "part").sortWithinPartitions("key", "part", "side").mapInArrow(link, "a long, b long, n long")
 
 
-def near_groups(docs: DataFrame, max_distance: int = MAX_DISTANCE, r: int | None = None) -> DataFrame:
-    """(doc_id, group_id) of every document in a group of two or more; group_id is the least doc_id of its group.
+def near_groups(docs: DataFrame, max_distance: int = MAX_DISTANCE, r: int | None = None, list_rows: int = LIST_ROWS) -> DataFrame:
+    """(doc_id, group_id, n_links) of every document in a group of two or more; group_id is the least doc_id of its group, n_links the number of other documents within max_distance of its own fingerprint.
 
     Documents without words, with null text or null id are in no group. Rows that repeat a
-    doc_id count once; if one id comes with different texts, all of them link its groups. Ties
-    cannot arise: groups are components. An empty table gives an empty table.
+    doc_id count once; if one id comes with different texts, all of them link its groups, and its n_links is the sum
+    over its fingerprints. Ties cannot arise: groups are components. An empty table gives an empty table.
     """
     prints = written(with_fingerprints(docs).distinct(), "prints")
-    reps = written(prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "hi", "lo"), "reps")
-    size = subset_size(reps.count(), collisions(reps), max_distance) if r is None else r
-    same = prints.join(reps.select(F.col("doc_id").alias("b"), "hi", "lo"), ["hi", "lo"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
-    groups = connected_components(same.union(near_edges(reps, max_distance, size)), "near")
-    return groups.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
+    classes = prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("docs"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    size = subset_size(classes.count(), collisions(classes), max_distance) if r is None else r
+    near = written(near_classes(classes, max_distance, size, list_rows), "links")
+    several = prints.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    of = prints.join(several, "doc_id").join(classes.select("hi", "lo", "rep"), ["hi", "lo"]).select("doc_id", "rep")
+    same = of.join(of.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").select(F.col("rep").alias("a"), "b")
+    roots = connected_components(near.where("b is not null").select("a", "b").union(same), "near").withColumnRenamed("node", "rep")
+    counts = near.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
+    placed = classes.join(roots, "rep", "left").where("root is not null or docs > 1").join(counts, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    least = placed.groupBy("root").agg(F.min("doc_id").alias("group_id"))
+    told = placed.join(least, "root").select("hi", "lo", "group_id", (F.coalesce("n", F.lit(0)) + F.col("docs") - 1).alias("n_links"))
+    return prints.join(told, ["hi", "lo"]).groupBy("doc_id").agg(F.min("group_id").alias("group_id"), F.sum("n_links").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
