@@ -5,15 +5,19 @@ the end of a camel-case name and with a number behind) and an assignment sign co
 dictionary words (with case and look-alike variants), dates, repeats, keyboard walks and
 brute-force spans, found by dynamic programming over its positions. Values that cost at least
 min_log10 are secrets; cheaper ones are words, placeholders or masks and are left alone. References
-(${NAME}, <name>, {{name}}, $NAME, %NAME%, [NAME]) are no values, and a bare word of letters after
-another word than a password's ("the key: understanding") is prose; neither is listed.
+(${NAME}, <name>, {{name}}, $NAME, %NAME%, [NAME]) are no values. What ends a sentence behind a bare word of letters after
+another word than a password's ("the key: understanding.") is not part of the value.
+
+The dictionary is ranked: the built-in list of frequent passwords, then the whole words of public BPE vocabularies in the
+order of their merges, which is about that of their frequency. Their paths are a parameter; the driver reads them and
+broadcasts their bytes, whose size does not depend on the corpus.
 
 Costs are decimal logarithms of guesses and add up along the chain; each part but the first adds
 JOIN for where the parts meet. A span of the value may be
 - a word: its rank in the list, times 2 for a capital or capitals only, times the number of case
   patterns else, times 2 for each kind of look-alike used, times 2 if reversed;
-- a date: 365 a year from this one, at least 20 years, times 4 with separators;
-- a repeat of a block of at most 16: the cheapest cost of the block, times the number of repeats; it
+- a date: 365 a year from the given one (this year), at least 20 years, times 4 with separators;
+- a repeat of a block of at most 256: the cheapest cost of the block, times the number of repeats; it
   starts within the first period of its maximal periodic run;
 - a walk over neighbouring keys: 47 starts, times 4 for each turn, times its length; it starts where
   its maximal run does;
@@ -23,15 +27,20 @@ JOIN for where the parts meet. A span of the value may be
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from datetime import date
+from functools import lru_cache
 from math import comb, log10
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexforge.llm import bpe
 from lexforge.llm.common import documents, scan_texts
 
-MIN_LOG10, JOIN, THIS_YEAR = 7.0, 0.5, 2026
+MIN_LOG10, JOIN, MAX_BLOCK, LONGEST_WORD = 7.0, 0.5, 256, 24
+VOCABULARIES = (bpe.VOCABULARY, "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 KEYWORDS = r"(?:pass(?:word|wd|phrase|code)?|pwd|passwort|contrase(?:ñ|n)a|secret|token|credentials?|auth|bearer|authorization|private[_-]?key(?:[_-]?id)?|(?:api|access|secret|auth|client|account|encryption)[_-]?(?:key(?:[_-]?id)?|token|secret|id)|key(?:[_-]?id)?)(?:[_-]?[0-9]+)?"
 CONTEXT = re.compile(r"(?i)(?:(?<![a-z])|(?-i:(?<=[a-z])(?=[A-Z])))(?P<word>(?:[a-z0-9]+[_-])*" + KEYWORDS + r")[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}(?:(?:bearer|basic|token)\s+)?(?:\"(?P<dq>[^\"\n]+)\"|'(?P<sq>[^'\n]+)'|(?P<bare>[^\s\"'<>,;|]+))")
 REFERENCE = re.compile(r"\$?\{+[^{}]*\}+|\$[A-Za-z_]\w*|<[^<>]*>|%\w+%|\[[A-Z_ ]+\]")
@@ -48,8 +57,6 @@ WORDS = (
     "not are was but all can had her one our out day get has him his how man new now old see two way who boy did its let put say she too use of to in is it on be at by we "
     "der die das und ist nicht mit auf les des est une dans pour que qui los las una con por para hola clave contrasena passwort motdepasse bonjour hallo"
 ).split()
-_RANK = {w: k + 1 for k, w in reversed(list(enumerate(WORDS)))}
-_LONGEST = max(map(len, WORDS))
 _LOOKS = {"4": "a", "@": "a", "8": "b", "3": "e", "1": "il", "!": "i", "0": "o", "5": "s", "$": "s", "7": "t", "+": "t", "9": "g", "2": "z", "|": "l"}
 _ROWS = (("`1234567890-=", "~!@#$%^&*()_+"), ("qwertyuiop[]\\", "QWERTYUIOP{}|"), ("asdfghjkl;'", 'ASDFGHJKL:"'), ("zxcvbnm,./", "ZXCVBNM<>?"))
 _KEYS = {c: (y, x + (0, 1.5, 1.75, 2.25)[y]) for y, pair in enumerate(_ROWS) for row in pair for x, c in enumerate(row)}
@@ -75,33 +82,58 @@ def _plain(low: str) -> list[tuple[str, int]]:
     return [(low, 0), (first, len(used)), (last, len(used))]
 
 
-def word_cost(s: str) -> float | None:
+class Dictionary:
+    """Words by rank, and the year from which dates are counted."""
+
+    def __init__(self, words: list[str] | tuple[str, ...] = (), year: int | None = None) -> None:
+        self.rank: dict[str, int] = {}
+        for w in [*WORDS, *words]:
+            self.rank.setdefault(w, len(self.rank) + 1)
+        self.longest, self.year = max(map(len, self.rank)), year or date.today().year
+
+
+@lru_cache(maxsize=2)
+def dictionary(vocabularies: tuple[bytes, ...], year: int | None = None) -> Dictionary:
+    """The built-in words, then the whole words of vocabularies, of 3 letters and more, by their places there."""
+    placed: dict[str, int] = {}
+    for raw in vocabularies:
+        for place, token in enumerate(bpe.read_ranks(raw)):
+            word = token.decode("utf-8", "replace")
+            if word[:1] == " " and 3 <= len(word) - 1 <= LONGEST_WORD and word[1:].isalpha():
+                placed[word[1:].lower()] = min(place, placed.get(word[1:].lower(), place))
+    return Dictionary(sorted(placed, key=lambda w: (placed[w], w)), year)
+
+
+PLAIN = Dictionary()
+
+
+def word_cost(s: str, words: Dictionary = PLAIN) -> float | None:
     low, best = s.lower(), None
     up = sum(c.isupper() for c in s)
     letters = sum(c.isalpha() for c in s)
     case = 0.0 if not up else log10(2) if up == letters or (up == 1 and s[0].isupper()) else log10(max(2, sum(comb(letters, k) for k in range(1, min(up, letters - up) + 1))))
     for text, looks in _plain(low):
         for back, w in enumerate((text, text[::-1])):
-            rank = _RANK.get(w)
+            rank = words.rank.get(w)
             if rank and (best is None or log10(rank) + (looks + back) * log10(2) + case < best):
                 best = log10(rank) + (looks + back) * log10(2) + case
     return best
 
 
-def date_cost(s: str) -> float | None:
+def date_cost(s: str, year: int = PLAIN.year) -> float | None:
     for k, p in enumerate(_DATES):
         m = p.fullmatch(s)
         if not m:
             continue
         if k == 0:
-            return log10(max(20, abs(int(s) - THIS_YEAR)))
+            return log10(max(20, abs(int(s) - year)))
         d, mo, y = int(m["d"]), int(m["m"]), int(m["y"])
         if k == 2 and mo > 12:
             d, mo = mo, d
         if not (1 <= d <= 31 and 1 <= mo <= 12):
             continue
         y = y if y > 99 else 1900 + y + 100 * (y < 50)
-        return log10(365 * max(20, abs(y - THIS_YEAR))) + (log10(4) if m["s"] else 0)
+        return log10(365 * max(20, abs(y - year))) + (log10(4) if m["s"] else 0)
     return None
 
 
@@ -124,9 +156,9 @@ def walks(s: str) -> tuple[list[int], list[int]]:
 
 
 def _periods(s: str) -> list[tuple[int, int, int]]:
-    """Maximal periodic runs (start, end, period) with a period of at most 16 and at least two, for one character three, full turns."""
+    """Maximal periodic runs (start, end, period) with a period of at most MAX_BLOCK and at least two, for one character three, full turns."""
     a, out = np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32), []
-    for p in range(1, min(16, len(s) // 2) + 1):
+    for p in range(1, min(MAX_BLOCK, len(s) // 2) + 1):
         same = np.r_[False, a[p:] == a[:-p], False].astype(np.int8)
         edge = np.flatnonzero(np.diff(same))
         for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist()):
@@ -135,7 +167,7 @@ def _periods(s: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def guess_log10(value: str) -> float:
+def guess_log10(value: str, words: Dictionary = PLAIN) -> float:
     """Decimal logarithm of the guesses of the cheapest segmentation; 0 for an empty value."""
     n = len(value)
     if not n:
@@ -148,7 +180,7 @@ def guess_log10(value: str) -> float:
 
     def block_cost(s: str) -> float:
         if s not in blocks:
-            blocks[s] = char_cost(s) if len(s) == 1 else guess_log10(s)
+            blocks[s] = char_cost(s) if len(s) == 1 else guess_log10(s, words)
         return blocks[s]
 
     walk, turns = walks(value)
@@ -158,12 +190,12 @@ def guess_log10(value: str) -> float:
         c = char_cost(value[j - 1])
         brute[j] = min(brute[j - 1] + c, best[j - 1] + c + (JOIN if j > 1 else 0))
         low = brute[j]
-        for i in range(max(0, j - max(_LONGEST, 10)), j):
+        for i in range(max(0, j - max(words.longest, 10)), j):
             before = best[i] + (JOIN if i else 0)
             if before >= low:
                 continue
             span = value[i:j]
-            for cost in (word_cost(span) if len(span) > 1 else None, date_cost(span) if 4 <= len(span) <= 10 else None):
+            for cost in (word_cost(span, words) if len(span) > 1 else None, date_cost(span, words.year) if 4 <= len(span) <= 10 else None):
                 if cost is not None and before + cost < low:
                     low = before + cost
         live = [run for run in live if run[1] >= j] + opening.get(j, [])
@@ -178,40 +210,51 @@ def guess_log10(value: str) -> float:
     return best[n]
 
 
-def findings(text: str, min_log10: float = MIN_LOG10) -> list[tuple[int, int, str, float, bool]]:
+def findings(text: str, min_log10: float = MIN_LOG10, words: Dictionary = PLAIN) -> list[tuple[int, int, str, float, bool]]:
     """(start, end, credential word, log10 of guesses, is a secret) of each value in credential context, in order."""
     out = []
     for m in CONTEXT.finditer(text):
         kind = m.lastgroup
-        if REFERENCE.fullmatch(m[kind]) or kind == "bare" and not PASS.search(m["word"]) and PROSE.fullmatch(m[kind]):
+        value = m[kind]
+        if REFERENCE.fullmatch(value):
             continue
-        cost = guess_log10(m[kind])
-        out.append((m.start(kind), m.end(kind), m["word"].lower(), round(cost, 6), cost >= min_log10))
+        if kind == "bare" and not PASS.search(m["word"]) and PROSE.fullmatch(value):
+            value = value.rstrip(".!?)")
+        cost = guess_log10(value, words)
+        out.append((m.start(kind), m.start(kind) + len(value), m["word"].lower(), round(cost, 6), cost >= min_log10))
     return out
 
 
-def secret_values(docs: DataFrame, min_log10: float = MIN_LOG10) -> DataFrame:
+def _shared(docs: DataFrame, vocabularies: tuple[str, ...], year: int | None) -> Callable[[], Dictionary]:
+    """The dictionary, made once in each worker from the vocabularies' bytes."""
+    raw, year = docs.sparkSession.sparkContext.broadcast(tuple(map(bpe._raw, vocabularies))), year or date.today().year
+    return lambda: dictionary(raw.value, year)
+
+
+def secret_values(docs: DataFrame, min_log10: float = MIN_LOG10, vocabularies: tuple[str, ...] = VOCABULARIES, year: int | None = None) -> DataFrame:
     """One row for each value in credential context: doc_id, start, end (in characters), keyword, length, guesses_log10, is_secret. The value itself is not given.
 
     Null and empty texts have none; rows that repeat a doc_id are each scanned; a null doc_id is
     kept; an empty table gives an empty table. Values of any length are taken whole.
     """
+    words = _shared(docs, vocabularies, year)
 
     def scan(texts: list[str | None]) -> list[list]:
-        return [[None if t is None else findings(t, min_log10) for t in texts]]
+        return [[None if t is None else findings(t, min_log10, words()) for t in texts], [None] * len(texts)]
 
     kind = "array<struct<start:int,end:int,keyword:string,guesses_log10:double,is_secret:boolean>>"
-    found = scan_texts(docs.select("doc_id", "text"), f"__lx_found {kind}, text string", lambda t: [*scan(t), [None] * len(t)], GATE)
+    found = scan_texts(docs.select("doc_id", "text"), f"__lx_found {kind}, text string", scan, GATE)
     return found.select("doc_id", F.explode("__lx_found").alias("f")).select("doc_id", "f.start", "f.end", "f.keyword", (F.col("f.end") - F.col("f.start")).alias("length"), "f.guesses_log10", "f.is_secret")
 
 
-def mask_secrets(docs: DataFrame, min_log10: float = MIN_LOG10, mask: str = "[SECRET]") -> DataFrame:
+def mask_secrets(docs: DataFrame, min_log10: float = MIN_LOG10, mask: str = "[SECRET]", vocabularies: tuple[str, ...] = VOCABULARIES, year: int | None = None) -> DataFrame:
     """docs with each secret value replaced by mask, n_chars (if there) of the new text; no row goes. Null, empty and repeated rows as in secret_values."""
+    words = _shared(docs, vocabularies, year)
 
     def scan(texts: list[str | None]) -> list[list]:
         out = []
         for t in texts:
-            for start, end, _, _, secret in reversed(findings(t, min_log10) if t is not None else []):
+            for start, end, _, _, secret in reversed(findings(t, min_log10, words()) if t is not None else []):
                 if secret:
                     t = t[:start] + mask + t[end:]
             out.append(t)

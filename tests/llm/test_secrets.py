@@ -3,9 +3,12 @@ from math import log10
 
 import pytest
 
+from lexforge.llm import bpe
 from lexforge.llm import secrets as S
 from tests.llm.util import odd, table
 
+FULL = S.dictionary(tuple(map(bpe._raw, S.VOCABULARIES)))
+
 
 def brute(value):
     """Every segmentation, priced part by part from the definitions."""
@@ -44,9 +47,9 @@ def test_order_of_strengths():
     assert S.guess_log10("") == 0
 
 
-@pytest.mark.parametrize(("text", "found"), [('token = "f3ef4d6b2755a36d7d9c"', 1), ("API_KEY=sk93jfk28fjaPq", 1), ("db_password: 'hunter'", 0), ("the key: understanding", 0), ("secret = ${NAME}", 0), ("password=<your password>", 0), ("monkey: f3ef4d6b2755a36d7d9c", 0), ("no credentials here", 0)])
+@pytest.mark.parametrize(("text", "found"), [('token = "f3ef4d6b2755a36d7d9c"', 1), ("API_KEY=sk93jfk28fjaPq", 1), ("db_password: 'hunter'", 0), ("the key: understanding", 0), ("the key: understanding.", 0), ("password: elephant", 0), ("password = understanding", 0), ("token: qzvxkjwprtnmbd", 1), ("secret: qZkVtRwXbNmLpHsG.", 1), ("secret = ${NAME}", 0), ("password=<your password>", 0), ("monkey: f3ef4d6b2755a36d7d9c", 0), ("no credentials here", 0)])
 def test_contexts(text, found):
-    assert sum(f[4] for f in S.findings(text)) == found
+    assert sum(f[4] for f in S.findings(text, words=FULL)) == found
 
 
 def test_long_values_are_taken_whole():
@@ -63,7 +66,7 @@ def test_masking(spark):
 
 def test_query_equals_row_by_row(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
-    want = {(r.doc_id, a, b, k, c, s) for r in d for a, b, k, c, s in S.findings(r.text)}
+    want = {(r.doc_id, a, b, k, c, s) for r in d for a, b, k, c, s in S.findings(r.text, words=FULL)}
     got = {(r.doc_id, r.start, r.end, r.keyword, r.guesses_log10, r.is_secret) for r in S.op5_secrets(spark, "/root/testdata/sf0.01").collect()}
     assert got == want and got
 
@@ -99,3 +102,12 @@ def test_names_of_contexts(context):
     text = "x " + context + "9xK2mPq77zLw y"
     assert [(text[a:b], secret) for a, b, _, _, secret in S.findings(text)] == [("9xK2mPq77zLw", True)]
     assert pc.match_substring_regex(pa.array([text]), S.GATE).to_pylist() == [True]
+
+
+def test_a_bare_word_is_listed_without_what_ends_its_sentence():
+    assert [(a, b, s) for a, b, _, _, s in S.findings("the key: understanding.", words=FULL)] == [(9, 22, False)]
+    assert len(FULL.rank) > 30_000 and FULL.rank["password"] == 1
+    assert S.guess_log10("correcthorsebatterystaple", FULL) > 7 > S.guess_log10("Sunshine1999", FULL)
+    long = "".join(random.Random(3).choices("abcdefghij", k=150))
+    assert S.guess_log10(long * 3) < S.guess_log10(long) + 1
+    assert S.date_cost("2031", 2030) == S.date_cost("2030", 2030) < S.date_cost("1900", 2030)
