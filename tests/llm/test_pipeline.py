@@ -1,9 +1,11 @@
 import random
+import re
 
 import corpus_pipeline as C
 from lexforge.llm import packing, secrets
 from tests.llm.test_simhash import brute as near
 from tests.llm.test_suffix import brute as repeats
+from tests.llm.test_packing import least_cost, pieces, plain
 from tests.llm.util import SCHEMA
 
 
@@ -40,18 +42,31 @@ def test_pipeline_equals_its_stages_done_by_hand(spark, tmp_path):
     again = repeats([(d, t) for d, t in kept.items() if t and d is not None], 50)
     assert {10, 17, 103} <= set(again)
     for d, at in again.items():
-        kept[d] = " ".join(w for k, w in enumerate(kept[d].split()) if k not in at)
+        kept[d] = "".join(w for k, w in enumerate(re.findall(r"\S+\s*", kept[d])) if k not in at)
     # 4 secrets
     for d, t in list(kept.items()):
         if t:
             for a, b, _, _, s in reversed(secrets.findings(t)):
                 kept[d] = kept[d][:a] + "[SECRET]" + kept[d][b:] if s else kept[d]
-    # 5 packing: all words that are left, in order
-    total = {}
+    # 5 packing: all text that is left, in order, in the cheapest windows
+    got.sort(key=lambda r: (r.shard, r.window, r.seq))
+    text, windows, encoding = {}, {}, plain()
     for r in got:
-        total[r.doc_id] = total.get(r.doc_id, 0) + r.tokens
-    assert total == {d: len(t.split()) for d, t in kept.items() if t and t.split()}
-    assert all(r.window_tokens <= packing.CAPACITY for r in got)
+        text[r.doc_id] = text.get(r.doc_id, "") + r.text
+        windows.setdefault(r.window, []).append(r)
+    assert text == {d: t for d, t in kept.items() if t and t.split()} and {r.shard for r in got} == {0}
+    order = sorted(text, key=lambda d: (d is not None, d or 0))
+    assert list(dict.fromkeys(r.doc_id for r in got)) == order
+    size, kind = [], []
+    for d in order:
+        a, c = pieces(text[d], encoding, packing.CAPACITY)
+        size += a
+        kind += c
+    cost = sum(parts[0].padding + {"document": 0, "sentence": packing.CUT_COST}[parts[0].ends_with] for parts in windows.values())
+    assert cost == least_cost(size, kind, packing.CAPACITY, packing.CUT_COST)
+    for parts in windows.values():
+        assert sum(r.tokens for r in parts) == parts[0].window_tokens == packing.CAPACITY - parts[0].padding
+        assert sum(len(encoding.encode_ordinary(r.text)) for r in parts) >= parts[0].window_tokens
 
 
 def test_stages_keep_the_columns_and_take_empty_tables(spark, tmp_path):
