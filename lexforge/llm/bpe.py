@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from lexforge.llm import textbuf as tb
-from lexforge.llm.common import documents
+from lexforge.llm.common import documents, small_batches
 
 VOCABULARY, MAX_NODES = "/opt/tokenizers/byte_bpe_50k.tiktoken", 1_000_000
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -205,6 +205,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, max_nodes: int = MAX_NODES)
     Null text gives null tokens and null n_tokens, an empty text no tokens and 0. Null and repeated
     ids are kept row by row; texts of any length are taken whole; an empty table gives an empty table.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(_raw(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

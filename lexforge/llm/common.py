@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lexforge.llm import textbuf as tb
 
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES, BATCH_ROWS = 64 << 20, 2000
 _WRITTEN: list[str] = []
 
 
@@ -36,6 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of the session have at most BATCH_ROWS rows from here on, as texts may be long; a lower number stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet to the shared folder and read again: lineage ends here and a lost executor costs nothing."""
     spark = df.sparkSession
@@ -121,6 +128,7 @@ def scan_texts(docs: DataFrame, added: str, scan: Callable[[list[str | None]], l
     row they all get, except that the text column keeps its value. Columns of docs that bear an
     added name are replaced, all others pass through.
     """
+    small_batches(docs.sparkSession)
     new = T._parse_datatype_string(added)
     names = [f.name for f in new.fields]
     kept = [f for f in docs.schema.fields if f.name not in names or f.name == column]

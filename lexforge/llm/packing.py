@@ -20,9 +20,11 @@ starts of the shards, MAX_SHARDS at most (shards grow beyond that), are broadcas
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,24 +34,37 @@ from pyspark.sql import functions as F
 
 from lexforge.llm import bpe
 from lexforge.llm import textbuf as tb
-from lexforge.llm.common import documents, written
+from lexforge.llm.common import documents, small_batches, written
 
-CAPACITY, CUT_COST, SPLIT_COST, SHARD_TOKENS, MAX_SHARDS = 2048, 64, 512, 1 << 20, 1 << 20
+CAPACITY, CUT_COST, SPLIT_COST, SHARD_TOKENS, MAX_SHARDS = 2048, 64, 512, 1 << 18, 1 << 20
 SCHEMA = "shard long, window int, seq int, doc_id long, first_sentence int, last_sentence int, tokens int, window_tokens int, padding int, ends_with string, text string"
 _END = np.zeros(256, dtype=bool)
 _END[[ord(c) for c in ".!?"]] = True
 _WIDE_ENDS = [tuple(c.encode()) for c in "。！？｡"]
-_COUNTERS: dict[int, tuple[tiktoken.Encoding, np.ndarray]] = {}
+_TWO_BLANKS = re.compile(r"\s\s")
 
 
-def counter(raw: bytes) -> tuple[tiktoken.Encoding, np.ndarray]:
-    """This worker's encoder of a vocabulary (its tokens are those of bpe.encode) and the bytes of each token."""
-    if hash(raw) not in _COUNTERS:
+class Counter:
+    """Tokens of texts in a vocabulary, those of bpe.encode, and the bytes of each token."""
+
+    def __init__(self, raw: bytes) -> None:
         tokens = bpe.read_ranks(raw)
-        made = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks={t: k for k, t in enumerate(tokens)}, special_tokens={})
-        _COUNTERS.clear()
-        _COUNTERS[hash(raw)] = made, np.array([len(t) for t in tokens], dtype=np.int64)
-    return _COUNTERS[hash(raw)]
+        self.raw, self.width = raw, np.array([len(t) for t in tokens], dtype=np.int64)
+        ranks = {t: k for k, t in enumerate(tokens)}
+        self.whole = tiktoken.Encoding("whole", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        # where no blank follows another one, the look-ahead makes no difference and only costs time
+        self.quick = tiktoken.Encoding("quick", pat_str=bpe.PATTERN.replace(r"|\s+(?!\S)", ""), mergeable_ranks=ranks, special_tokens={})
+
+    def __call__(self, text: str) -> np.ndarray:
+        try:
+            return (self.whole if _TWO_BLANKS.search(text) else self.quick).encode_to_numpy(text, disallowed_special=())
+        except ValueError:  # the pattern's stack does not hold a run of blanks as long as that
+            return bpe.encoder(self.raw, bpe.MAX_NODES)([text])[0]
+
+
+@lru_cache(maxsize=1)
+def counter(raw: bytes) -> Counter:
+    return Counter(raw)
 
 
 def sentence_ends(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,20 +124,13 @@ def measured(docs: DataFrame, path: str, capacity: int) -> DataFrame:
     schema = "doc_id long, version long, text string, n long, size array<int>, end array<int>, kind array<int>"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, width = counter(shared.value)
-
-        def encode(text: str) -> np.ndarray:
-            try:
-                return encoding.encode_to_numpy(text, disallowed_special=())
-            except ValueError:  # its pattern's stack does not hold a run of blanks as long as that
-                return bpe.encoder(shared.value, bpe.MAX_NODES)([text])[0]
-
+        encode = counter(shared.value)
         for b in batches:
             data, off = tb.buffers(b.column(2))
             for lo, hi in tb.slices(off):
                 part, offsets = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
                 tokens = [encode(t) for t in b.column(2).slice(lo, hi - lo).to_pylist() if t]
-                size, end, kind, row = items(part, offsets, np.cumsum(width[np.concatenate(tokens)]) if tokens else np.zeros(0, np.int64), capacity)
+                size, end, kind, row = items(part, offsets, np.cumsum(encode.width[np.concatenate(tokens)]) if tokens else np.zeros(0, np.int64), capacity)
                 rows, at = np.unique(row, return_index=True)
                 if not len(rows):
                     continue
@@ -182,6 +190,7 @@ def windows(docs: DataFrame, capacity: int = CAPACITY, cut_cost: int = CUT_COST,
     repeat a doc_id are packed one after another, in the order of their texts' hashes. Null texts and those without words appear
     nowhere; an empty table gives an empty table.
     """
+    small_batches(docs.sparkSession)
     kinds = ("sentence", "document", "split")
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     rows = written(measured(docs, path, capacity).withColumn("row", F.monotonically_increasing_id()), "measured")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.llm import textbuf as tb
-from lexforge.llm.common import connected_components, documents, small_side, written
+from lexforge.llm.common import connected_components, documents, small_batches, small_side, written
 
 BYTES, MAX_DISTANCE, LIST_ROWS, SHORT = 16, 13, 4096, 256
 _LOW = np.uint64(0x0101010101010101)
@@ -251,8 +251,6 @@ def near_classes(classes: DataFrame, max_distance: int, r: int, list_rows: int =
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *b.columns], ["key", "rep", "hi", "lo", "docs"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
-
         def found(cols: list[np.ndarray]) -> pa.RecordBatch:
             key, part, side, rep, hi, lo, docs = cols
             run = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
@@ -264,19 +262,23 @@ def near_classes(classes: DataFrame, max_distance: int, r: int, list_rows: int =
             none[: len(i)] = True
             return pa.RecordBatch.from_arrays([pa.array(np.r_[rep[i], who]), pa.array(np.r_[rep[j], who], mask=~none), pa.array(np.r_[rep[i], total], mask=none)], ["a", "b", "n"])
 
+        held: list[list[np.ndarray]] = []
+        count, enough = 0, 1 << 15
         for b in batches:
-            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
-            if rest is not None:
-                cols = [np.concatenate(x) for x in zip(rest, cols)]
-            if not len(cols[0]):
+            held.append([b.column(k).to_numpy(zero_copy_only=False) for k in range(7)])
+            count += b.num_rows
+            if count < enough:
                 continue
+            cols = [np.concatenate(x) for x in zip(*held)]
             other = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
             whole = int(other[-1]) + 1 if len(other) else 0  # the last list may go on in the next batch
             if whole:
                 yield found([x[:whole] for x in cols])
-            rest = [x[whole:] for x in cols]
-        if rest is not None and len(rest[0]):
-            yield found(rest)
+            held = [[x[whole:] for x in cols]]
+            count = len(cols[0]) - whole
+            enough = count + (1 << 15)
+        if count:
+            yield found([np.concatenate(x) for x in zip(*held)])
 
     posted = classes.select("rep", "hi", "lo", "docs").mapInArrow(post, posting)
     hot = written(posted.groupBy("key").count().where(F.col("count") > list_rows).select("key", F.ceil(F.col("count") / list_rows).alias("parts")), "hot")
@@ -299,6 +301,7 @@ def near_groups(docs: DataFrame, max_distance: int = MAX_DISTANCE, r: int | None
     doc_id count once; if one id comes with different texts, all of them link its groups, and its n_links is the sum
     over its fingerprints. Ties cannot arise: groups are components. An empty table gives an empty table.
     """
+    small_batches(docs.sparkSession)
     prints = written(with_fingerprints(docs).distinct(), "prints")
     classes = prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("docs"))
     classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")

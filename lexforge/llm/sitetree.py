@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.llm import textbuf as tb
-from lexforge.llm.common import written
+from lexforge.llm.common import small_batches, written
 
 GAMMA, THRESHOLD, MIN_PAGES, BROADCAST_NODES, GROUP_PAGES = 0.9, 0.2, 5, 4_000_000, 2048
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)/?>""", re.S)
@@ -246,6 +246,7 @@ def extract(pages: DataFrame, gamma: float = GAMMA, threshold: float = THRESHOLD
     cannot hold what follows does, or with their parent. Other columns of pages are left out; an
     empty table gives an empty table.
     """
+    small_batches(pages.sparkSession)
     spec = prepared(pages)
     stats = written(style_counts(spec, gamma, min_pages), "styles")
 

@@ -14,7 +14,13 @@ stretches, each ended by a symbol of its own, are concatenated and sorted by ext
 windows that also stand in an earlier document. Nothing else can match, so the result is exact, and
 no pair of documents is ever formed.
 
-What is shuffled: 48 bytes for each anchor (one for about 22 words), and the text of documents that
+Anchors are first counted with partial sums, and only those that come up again are shuffled, by anchor and stretch.
+A stretch with more than hot_rows copies is settled by a partial minimum and a join with that one row, and an anchor with more than
+hot_rows different stretches (a licence that a third of all documents hold, each in its own
+surroundings) is not sorted in one place: its windows are compared by their hashes, again with partial minima. So no
+task gets all rows of a hot anchor.
+
+What is shuffled: the counts of anchors (one for about 22 words), 48 bytes for each one that comes up again, and the text of documents that
 need a suffix sort. The number of shards follows the number of words to sort; a shard far beyond
 block_words or memory is sorted from disk, in the shared folder.
 """
@@ -30,9 +36,9 @@ from pyspark.sql import functions as F
 
 from lexforge.llm import induced
 from lexforge.llm import textbuf as tb
-from lexforge.llm.common import documents, shared_dir, small_side, written
+from lexforge.llm.common import documents, shared_dir, small_batches, small_side, written
 
-MIN_WORDS, GRAM, SHARD_WORDS, BLOCK_WORDS, MEMORY = 50, 8, 1 << 20, 1 << 18, 160 << 20
+MIN_WORDS, GRAM, SHARD_WORDS, BLOCK_WORDS, MEMORY, HOT_ROWS = 50, 8, 1 << 20, 1 << 18, 128 << 20, 1 << 14
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _ANCHOR = "anchor long, stretch long, doc_id long, version long, lo int, hi int"
@@ -98,44 +104,51 @@ _FOUND = "sort boolean, anchor long, doc_id long, version long, lo int, hi int,
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over stretches sorted by anchor, stretch and document: further copies of a whole stretch, in the first one's document too (sort false), and the first copy of each of several stretches under one anchor (sort true)."""
+    """Over (anchor, stretch, doc_id, version, lo, hi, active) sorted in that order: the first copy of each stretch of an active anchor (sort true), and the further copies of every stretch, in the first one's document too (sort false)."""
     names = [x.split()[0] for x in _FOUND.split(", ")]
-    # carried on: the first row of the anchor that is still open, and the first row of its last stretch; whether the first was given out
-    opened: list[np.ndarray] | None = None
-    class_first, given = 0, False
+    opened: list[np.ndarray] | None = None  # the first row of the stretch that is still open
 
     def rows(sort: bool, c: list[np.ndarray], first: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(c[0]), sort)), pa.array(c[0]), *(pa.array(x) for x in c[2:]), *(pa.array(x) for x in first)], names)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(c[0]), sort)), pa.array(c[0]), *(pa.array(x) for x in c[2:6]), *(pa.array(x) for x in first)], names)
 
     for b in batches:
         if not b.num_rows:
             continue
-        c = [b.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+        c = [b.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
         carried = 0
         if opened is not None:
-            c, carried = [np.concatenate(x) for x in zip(opened, c)], len(opened[0])
-        new_anchor = np.r_[True, c[0][1:] != c[0][:-1]]
-        new_class = new_anchor | np.r_[True, c[1][1:] != c[1][:-1]]
-        at = np.flatnonzero(new_class)
-        first = [x[at][np.cumsum(new_class) - 1] for x in c[2:5]]
+            c, carried = [np.concatenate(x) for x in zip(opened, c)], 1
+        new = np.r_[True, (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1])]
+        at = np.flatnonzero(new)
+        first = [x[at][np.cumsum(new) - 1] for x in c[2:5]]
         # a row given twice is no copy of itself
         copy = (c[2] != first[0]) | (c[3] != first[1]) | (c[4] != first[2])
-        copy[:carried] = False
-        if copy.any():
-            yield rows(False, [x[copy] for x in c], [x[copy] for x in first])
-        # one row of each stretch, where its anchor has several
-        anchor_at = np.flatnonzero(new_anchor)
-        many = np.add.reduceat(new_class.astype(int), anchor_at) > 1
-        across = np.minimum.reduceat(c[2], anchor_at) != np.maximum.reduceat(c[2], anchor_at)
-        across[[0, -1] if carried else [-1]] = True  # not known before it is closed
-        give = new_class & (many & across)[np.cumsum(new_anchor) - 1]
-        give[:carried] &= not given
-        if give.any():
-            yield rows(True, [x[give] for x in c], [x[give] for x in c[2:5]])
-        # what stays open: the first row of the last anchor (until given), and the first of its last stretch
-        a, k = int(anchor_at[-1]), int(at[-1])
-        given = bool(many[-1])
-        opened = [x[[a]] if a == k else x[[a, k]] for x in c]
+        give = new & c[6].astype(bool)
+        give[:carried] = False
+        for sort, those in ((False, copy), (True, give)):
+            if those.any():
+                yield rows(sort, [x[those] for x in c], [x[those] for x in first])
+        opened = [x[[at[-1]]] for x in c]
+
+
+def _meeting(anchored: DataFrame, hot_rows: int) -> DataFrame:
+    """_FOUND of all stretches: what _settle() gives, without a task that gets all rows of a hot anchor or stretch."""
+    n = F.count("*").alias("n")
+    ends = anchored.groupBy("anchor").agg(n, F.min("stretch").alias("s0"), F.max("stretch").alias("s1"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("n > 1")
+    shared = written(ends.select("anchor", "n", F.expr("s0 <> s1 and d0 <> d1").alias("active")), "shared")
+    again = anchored.join(small_side(shared), "anchor")
+    columns = ("anchor", "stretch", "doc_id", "version", "lo", "hi", "active")
+    hot = written(again.where(F.col("n") > hot_rows).groupBy("anchor", "stretch").agg(n, F.min(F.struct("doc_id", "version", "lo", "hi", "active")).alias("first")).where(F.col("n") > hot_rows).select("anchor", "stretch", "first"), "hot")
+    if hot.isEmpty():
+        rest, more = again, None
+    else:
+        one = small_side(hot)
+        rest = again.join(one, ["anchor", "stretch"], "left_anti")
+        copies = again.join(one, ["anchor", "stretch"]).where("doc_id <> first.doc_id or version <> first.version or lo <> first.lo").select(F.lit(False).alias("sort"), "anchor", "doc_id", "version", "lo", "hi", "first.doc_id", "first.version", "first.lo")
+        firsts = hot.where("first.active").select(F.lit(True).alias("sort"), "anchor", "first.doc_id", "first.version", "first.lo", "first.hi", "first.doc_id", "first.version", "first.lo")
+        more = copies.union(firsts)
+    settled = rest.select(*columns).repartition("anchor", "stretch").sortWithinPartitions("anchor", "stretch", "doc_id", "version", "lo").mapInArrow(_settle, _FOUND)
+    return settled if more is None else settled.union(more)
 
 
 def _shard(docs: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -164,6 +177,36 @@ def _shard(docs: DataFrame, jobs: DataFrame) -> DataFrame:
     return joined.dropDuplicates(["doc_id", "version"]).mapInArrow(cut, "anchor long, doc_id long, version long, lo int, words binary")
 
 
+def _by_hash(stretches: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, version, lo, s, e, f of the windows of _shard()'s stretches that also stand in an earlier document, by the hashes of windows."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc, version, lo, words = (b.column(b.schema.get_field_index(c)) for c in ("doc_id", "version", "lo", "words"))
+            length = np.array([len(w) // 8 for w in words.to_pylist()], dtype=np.int64)
+            flat = np.frombuffer(b"".join(words.to_pylist()), np.uint64)
+            row = np.repeat(np.arange(len(length)), length)
+            n = len(flat) - min_words + 1
+            if n < 1:
+                continue
+            at = np.flatnonzero(row[:n] == row[min_words - 1 :])
+            h = flat[: len(flat)].copy()
+            span, size = h, 1  # hashes of runs of size words, doubled, then joined
+            while size * 2 <= min_words:
+                span = tb.mix(span[: len(span) - size] * tb._C1 + span[size:])
+                size *= 2
+            h = tb.mix(span[: n] * tb._C2 + span[min_words - size : min_words - size + n])[at]
+            r = row[at]
+            begin = np.cumsum(length) - length
+            start = (lo.to_numpy(zero_copy_only=False)[r] + at - begin[r]).astype(np.int32)
+            take = pa.array(r)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), doc.take(take), version.take(take), lo.take(take), pa.array(start)], ["window", "doc_id", "version", "lo", "s"])
+
+    each = stretches.mapInArrow(hashes, "window long, doc_id long, version long, lo int, s int")
+    first = written(each.groupBy("window").agg(F.min("doc_id").alias("f"), F.max("doc_id").alias("last")).where("f < last").select("window", "f"), "first")
+    return each.join(small_side(first), "window").where("doc_id > f").select("doc_id", "version", "lo", "s", (F.col("s") + min_words).alias("e"), "f")
+
+
 def sort_stretches(stretches: Iterator[tuple[int, int, int, np.ndarray]], folder: str, min_words: int, block: int, memory: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(doc_id, version, first word of the stretch, first word, first document) of each window of min_words words that also stands in an earlier document of the shard."""
     store = induced.Store(folder, memory)
@@ -234,7 +277,7 @@ def sort_stretches(stretches: Iterator[tuple[int, int, int, np.ndarray]], folder
         store.close()
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, shard_words: int = SHARD_WORDS, block: int = BLOCK_WORDS, memory: int = MEMORY) -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, shard_words: int = SHARD_WORDS, block: int = BLOCK_WORDS, memory: int = MEMORY, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, version, start_word, end_word, first_doc: the maximal stretches of each document whose every min_words-window stands in an earlier document.
 
     Documents are told apart by doc_id; first_doc is the least id any of the windows stands in.
@@ -243,10 +286,11 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, shard
     min_words words share nothing. An empty table gives an empty table.
     """
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     spec = _identified(docs)
-    anchored = _stretches(spec, min_words, gram).repartition("anchor").sortWithinPartitions("anchor", "stretch", "doc_id", "lo")
-    found = written(anchored.mapInArrow(_settle, _FOUND), "stretches")
+    found = written(_meeting(written(_stretches(spec, min_words, gram), "anchors"), hot_rows), "stretches")
     jobs = found.where("sort").select("anchor", "doc_id", "version", "lo", "hi").distinct()
+    crowded = written(jobs.groupBy("anchor").count().where(F.col("count") > hot_rows).select("anchor"), "crowded")
     words = found.where("sort").agg(F.coalesce(F.sum(F.col("hi") - F.col("lo")), F.lit(0))).first()[0]
     copies = found.where("not sort")
     whole = copies.where("doc_id > first_doc").select("doc_id", "version", F.col("lo").alias("s"), F.col("hi").alias("e"), F.col("first_doc").alias("f"))
@@ -269,7 +313,12 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, shard
                 yield pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(v[at]), pa.array(lo[at], pa.int32()), pa.array(s[at], pa.int32()), pa.array(s[last] + min_words, pa.int32()), pa.array(least)], ["doc_id", "version", "lo", "s", "e", "f"])
 
         shards = max(1, -(-words // shard_words))
-        late = written(_shard(spec, jobs).repartition(shards, "anchor").mapInArrow(sort, "doc_id long, version long, lo int, s int, e int, f long"), "windows")
+        alone = crowded.isEmpty()
+        calm = jobs if alone else jobs.join(small_side(crowded), "anchor", "left_anti")
+        late = _shard(spec, calm).repartition(shards, "anchor").mapInArrow(sort, "doc_id long, version long, lo int, s int, e int, f long")
+        if not alone:
+            late = late.union(_by_hash(_shard(spec, jobs.join(small_side(crowded), "anchor", "left_semi")), min_words))
+        late = written(late, "windows")
         of = late.select(F.col("doc_id").alias("first_doc"), F.col("version").alias("first_version"), F.col("lo").alias("first_lo"), "s", "e", "f")
         again = copies.join(of, ["first_doc", "first_version", "first_lo"]).select("doc_id", "version", (F.col("s") - F.col("first_lo") + F.col("lo")).alias("s"), (F.col("e") - F.col("first_lo") + F.col("lo")).alias("e"), "f")
         windows = whole.union(late.drop("lo")).union(again)

@@ -27,6 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from lexforge.llm.common import small_batches
+
 FILE_BYTES, DICTIONARY_BYTES, LEVEL, DATE = 32 << 20, 64 << 10, 3, "1970-01-01T00:00:00Z"
 SKIPPABLE = 0x184D2A5D
 SCHEMA = "file long, seq int, page_id long, offset long, length long, frame binary"
@@ -114,6 +116,7 @@ def records(pages: DataFrame, file_bytes: int = FILE_BYTES, dictionary_bytes: in
     page_id, url and html; date names the column with the date of a page's retrieval, and where pages
     has no such column, or a null in it, the record has the date DATE. Other columns are left out.
     """
+    small_batches(pages.sparkSession)
     columns = [pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html")]
     dated = date is not None and date in pages.columns
     spec = pages.select(*columns, *([pages[date].alias("date")] if dated else []))

@@ -78,10 +78,10 @@ def test_sentences_and_long_ones():
     ends, row = P.sentence_ends(*arrays([text, "", "  ", "six", "日本。語"]))
     base = len(text) + 2
     assert (ends.tolist(), row.tolist()) == ([8, 15, 28, base + 3, base + 12, base + 15], [0, 0, 0, 3, 4, 4])
-    encoding, width = P.counter(bpe._raw(bpe.VOCABULARY))
+    count, encoding = P.counter(bpe._raw(bpe.VOCABULARY)), plain()
     for t in ("word " * 50, "日本語" * 40, "x" * 300, "é😀" * 30 + ". end"):
         data, off = arrays([t])
-        size, end, kind, row = P.items(data, off, np.cumsum(width[encoding.encode_to_numpy(t)]), 7)
+        size, end, kind, row = P.items(data, off, np.cumsum(count.width[count(t)]), 7)
         assert size.max() <= 7 and size.sum() == len(encoding.encode_ordinary(t)) and end[-1] == len(data)
         assert kind[-1] == 1 and 2 in kind and "".join(data[a:b].tobytes().decode() for a, b in zip([0, *end[:-1]], end)) == t
 
@@ -116,6 +116,13 @@ def test_windows_are_optimal_and_rebuild_the_texts(spark, shard_tokens):
         assert sum(p + {"document": 0, "sentence": 3, "split": 20}[e] for p, e in ends.values()) == least_cost(size, kind, 40, 3)
 
 
+def test_counter_equals_the_plain_encoder():
+    rng, count, encoding = random.Random(7), P.counter(bpe._raw(bpe.VOCABULARY)), plain()
+    for _ in range(500):
+        t = "".join(rng.choices(["a", "é", "the", " ", "\n", "\u00a0", "'ll", "'", "7", "!", "\x1c", "日"], k=rng.randint(0, 12)))
+        assert count(t).tolist() == encoding.encode_ordinary(t), repr(t)
+
+
 def test_query_has_all_tokens_of_operator_6(spark):
     data = "/root/testdata/sf0.001"
     want = {r.doc_id: r.n_tokens for r in bpe.op6_bpe(spark, data).collect() if r.n_tokens}

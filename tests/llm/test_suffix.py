@@ -81,7 +81,7 @@ def brute(rows, m):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_words": 300, "block": 16, "memory": 100}])
+@pytest.mark.parametrize("options", [{}, {"shard_words": 300, "block": 16, "memory": 100}, {"hot_rows": 2}])
 def test_repeats_equal_brute_force(spark, options):
     rows = list(enumerate(corpus()))
     docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], SCHEMA)
@@ -94,12 +94,12 @@ def test_repeats_equal_brute_force(spark, options):
 
 def test_open_groups_go_on_over_batches():
     rng = random.Random(1)
-    rows = sorted((rng.randint(0, 3), rng.randint(0, 3), rng.randint(0, 5), 0, k, k + 9) for k in range(60))
+    rows = sorted((rng.randint(0, 3), rng.randint(0, 3), rng.randint(0, 5), 0, k, k + 9, True) for k in range(60))
     import pyarrow as pa
 
     def run(step):
         out = []
-        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + step])], [*"abcdef"]) for k in range(0, len(rows), step)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + step])], [*"abcdefg"]) for k in range(0, len(rows), step)]
         for b in S._settle(iter(batches)):
             out += [tuple(r.values()) for r in b.to_pylist()]
         assert len(out) == len(set(out))
@@ -128,7 +128,7 @@ def repeated_inside():
     return [(2, other(9) + " " + p + " " + other(9)), (5, ten), (5, "q " + ten + " " + other(5)), (7, ten + " " + other(20)), (8, other(70))]
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_words": 300, "block": 16, "memory": 100}])
+@pytest.mark.parametrize("options", [{}, {"shard_words": 300, "block": 16, "memory": 100}, {"hot_rows": 2}])
 def test_paragraph_repeated_inside_a_document(spark, options):
     rows = repeated_inside()
     docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], SCHEMA)
