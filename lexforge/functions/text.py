@@ -4,19 +4,32 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_BASE, _PLAIN = [], []
-for _c in (chr(k) for k in range(0xC0, 0x250)):
-    _d = "".join(x for x in unicodedata.normalize("NFKD", _c) if not unicodedata.combining(x))
-    if len(_d) == 1 and _d != _c:
-        _BASE.append(_c)
+def _without_marks(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+
+
+_BASE, _PLAIN, _LONGER = [], [], []
+for _c in (chr(k) for k in range(0x80, 0x250)):
+    _d = _without_marks(_c)
+    if len(_d) > 1:
+        _LONGER.append(_c)
+    elif len(_d) == 1 and _d != _c.lower():
+        _BASE.append(_c.lower())
         _PLAIN.append(_d)
+#: What normalize() leaves to Python: characters outside Latin, marks and common punctuation, and Latin ones that become several
+_ODD = "[^\\x00-\u024f\u0300-\u034e\u0350-\u036f\u2010-\u2022]|[" + "".join(_LONGER) + "]"
 _BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _MARKS = r"[̀-ͯ]"
-VERBS = ("implementa", "crea", "desarrolla", "construye", "diseña", "refactoriza", "programa", "escribe", "build", "create", "implement", "develop", "design", "write", "refactor")
-APPROVALS = ("si", "sí", "ok", "vale", "dale", "adelante", "aprobado", "apruebo", "yes", "y", "go", "approve", "approved")
+VERBS = tuple(
+    "crea crear desarrolla desarrollar diseña diseñar implementa implementar construye construir programa programar genera generar "
+    "automatiza automatizar refactoriza refactorizar build create develop design implement generate".split()
+)
+APPROVALS = tuple("sí si ok apruebo adelante yes confirmo procede ejecuta listo dale bien correcto".split())
 
 
 def strip(c: Column) -> Column:
@@ -46,11 +59,32 @@ def plan_slug(c: Column) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), r"\A_+|_+\z", ""), 1, 30)
 
 
-def normalize(c: Column) -> Column:
-    """Lower case without accents: precomposed Latin letters by translate(), combining marks dropped."""
+@F.pandas_udf(T.StringType())
+def _nfkd(texts: pd.Series) -> pd.Series:
+    return texts.map(_without_marks, na_action="ignore")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfkd_each(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda x: [None if t is None else _without_marks(t) for t in x], na_action="ignore")
+
+
+def _plain(c: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(c), "".join(_BASE), "".join(_PLAIN)), _MARKS, "")
 
 
+def normalize(c: Column) -> Column:
+    """Lower case without accents: NFKD without combining marks. Latin text stays in the JVM; only values with other characters go through Python, in Arrow batches."""
+    odd = c.rlike(_ODD)
+    return F.when(odd, _nfkd(F.when(odd, c))).otherwise(_plain(c))
+
+
+def normalize_each(c: Column) -> Column:
+    """normalize() of every element of an array."""
+    odd = F.exists(c, lambda x: x.rlike(_ODD))
+    return F.when(odd, _nfkd_each(F.when(odd, c))).otherwise(F.transform(c, _plain))
+
+
 def tokens(c: Column, least: int = 2) -> Column:
     """Words of at least so many characters, with repetitions, in order."""
     return F.regexp_extract_all(c, F.lit(r"(?U)\b\w{%d,}\b" % least), F.lit(0))
@@ -60,10 +94,6 @@ def cache_key(c: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(tokens(F.lower(c)))), " ")
 
 
-def tag_matches(words: Column, tags: Column) -> Column:
-    return F.size(F.array_intersect(words, F.transform(tags, normalize)))
-
-
 def embedding_text(id_: Column, tags: Column, content: Column, limit: int = 512) -> Column:
     return F.concat_ws(" ", id_, F.array_join(tags, " "), F.substring(content, 1, limit))
 
@@ -90,13 +120,51 @@ def json_object(c: Column) -> Column:
 
 
 def json_list(c: Column) -> Column:
+    """From the first [ to the last ] of an answer; null if there is none."""
     return F.nullif(F.regexp_extract(c, r"(?s)\[.*\]", 0), F.lit(""))
 
 
+def parse_questions(c: Column, limit: int = 4) -> Column:
+    """The first questions of an answer's JSON list, without empty ones; none where it cannot be parsed."""
+    items = F.coalesce(F.from_json(json_list(c), "array<string>"), F.array().cast("array<string>"))
+    return F.slice(F.filter(items, lambda q: q.isNotNull() & (q != "")), 1, limit)
+
+
+def parse_design(c: Column, request: Column) -> Column:
+    """struct<title, description, requirements, constraints, tags> of an answer's JSON object, with the defaults of what is absent."""
+    d = F.from_json(json_object(c), "title string, description string, requirements array<string>, constraints array<string>")
+    none = F.array().cast("array<string>")
+    title = F.coalesce(d["title"], F.lit("Proyecto Sin Título"))
+    slug = F.substring(F.regexp_replace(F.lower(title), "[^a-z0-9]+", "_"), 1, 30)
+    return F.struct(title.alias("title"), F.coalesce(d["description"], request).alias("description"), F.coalesce(d["requirements"], none).alias("requirements"), F.coalesce(d["constraints"], none).alias("constraints"), F.array(F.lit("sdd"), slug).alias("tags"))
+
+
+def parse_plan(c: Column) -> Column:
+    """array<struct<id, description, depends_on, tags>> of an answer's JSON plan; tasks without an id are numbered, an answer that is no JSON has none."""
+    d = F.from_json(json_object(c), "tasks array<struct<id:string,description:string,depends_on:array<string>>>")
+    none = F.array().cast("array<string>")
+
+    def task(t: Column, k: Column) -> Column:
+        name = F.coalesce(t["id"], F.concat(F.lit("task_"), (k + 1).cast("string")))
+        return F.struct(name.alias("id"), F.coalesce(t["description"], F.lit("")).alias("description"), F.coalesce(t["depends_on"], none).alias("depends_on"), F.array(F.lit("plan"), name).alias("tags"))
+
+    return F.transform(F.coalesce(d["tasks"], F.array().cast("array<struct<id:string,description:string,depends_on:array<string>>>")), task)
+
+
+def tags_json(tags: Column) -> Column:
+    """Tags as the JSON text the store keeps."""
+    return F.to_json(F.coalesce(tags, F.array().cast("array<string>")))
+
+
+def tags_from_json(c: Column) -> Column:
+    """Tags of their JSON text; null and broken text give none."""
+    return F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
+
+
 def is_trigger(c: Column, verbs: tuple[str, ...] = VERBS) -> Column:
     """A long message that is no question and holds a verb of making."""
     s = strip(c)
-    return (F.length(s) >= 100) & ~s.endswith("?") & F.arrays_overlap(tokens(F.lower(s)), F.array(*map(F.lit, verbs)))
+    return (F.length(s) >= 100) & ~s.endswith("?") & F.arrays_overlap(tokens(F.lower(s), 1), F.array(*map(F.lit, verbs)))
 
 
 def is_approval(c: Column, words: tuple[str, ...] = APPROVALS) -> Column:

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexforge.functions import text as tx
+
 _KEY, _VALUE, _LEFT, _RIGHT, _UP = range(5)
 
 
@@ -90,16 +92,14 @@ class SplayTree:
         for part in (left, right):
             if part is not None:
                 part[_UP] = None
-        if left is None:
-            self.root = right
+        if left is None or right is None:
+            self.root = right if left is None else left
         else:
             self.root = top = left
             while top[_RIGHT] is not None:
                 top = top[_RIGHT]
             self._splay(top)
-            top[_RIGHT] = right
-            if right is not None:
-                right[_UP] = top
+            top[_RIGHT], right[_UP] = right, top
         self.size -= 1
         return True
 
@@ -172,15 +172,17 @@ def simulate(log: DataFrame, capacity: int = 50, peek: int = 3, exact: bool = Fa
 def two_level(log: DataFrame, capacity: int = 50, peek: int = 3) -> DataFrame:
     """Replays (session, seq, words, results array<struct<id,tags>>) through the prompt builder's cache: session, seq, hit, served.
 
-    If any peeked entry has a tag among the query's words, all peeked entries are served and the
+    Words of three letters and more count, and they and the tags are compared without case and accents.
+    If any peeked entry has a tag among the query's words, or anything is cached and the query has no words, all peeked entries are served and the
     first is looked up, which splays it; else the results are, and each is inserted by its id.
     """
+    plain = tx._without_marks
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         tree, out = SplayTree(capacity), []
         for r in rows.sort_values("seq").itertuples():
-            top, words = tree.peek(peek), set(r.words)
-            hit = any(words & set(tags) for _, tags in top)
+            top, words = tree.peek(peek), {w for w in map(plain, r.words) if len(w) > 2}
+            hit = any(words & set(map(plain, tags)) for _, tags in top) if words else bool(top)
             if hit:
                 tree.search(top[0][0])
                 served = [key for key, _ in top]

@@ -11,18 +11,19 @@ from lexforge.functions import text as tx
 from lexforge.functions import vector as vx
 
 
-def ir_metrics(results: DataFrame, k: int) -> DataFrame:
-    """precision, recall, mrr and ndcg at k of (query_id, retrieved, relevant), both arrays of ids.
+def ir_metrics(results: DataFrame, k: int | None = None) -> DataFrame:
+    """precision, recall, mrr and ndcg at k of (query_id, retrieved, relevant), both arrays of ids, and how many ids of each there are and both have.
 
     A retrieved id is a hit if it contains a relevant id; duplicates count again, so recall and ndcg
-    may pass 1. Without relevant ids, or retrieved ones, all are 0.
+    may pass 1. Recall divides by the relevant ids as listed, the ideal ranking has as many hits as there are different relevant ids, and
+    no more than were retrieved. Without relevant ids, or retrieved ones, all are 0.
     """
-    top = F.slice("retrieved", 1, k)
+    top = F.col("retrieved") if k is None else F.slice("retrieved", 1, k)
     hit = F.transform(top, lambda r: F.exists("relevant", lambda x: F.contains(r, x)))
-    d = results.withColumn("__hit", hit).withColumn("__n", F.size(F.array_distinct("relevant")))
+    d = results.withColumn("__hit", hit).withColumn("__n", F.size("relevant")).withColumn("__ideal", F.least(F.size(F.array_distinct("relevant")), F.size(top)))
     hits = F.size(F.filter("__hit", lambda h: h))
     gains = F.transform("__hit", lambda h, i: F.when(h, 1 / F.log2(i + 2)).otherwise(0.0))
-    ideal = F.transform(F.when(F.least("__n", F.lit(k)) > 0, F.sequence(F.lit(1), F.least(F.col("__n"), F.lit(k)))).otherwise(F.array().cast("array<int>")), lambda i: 1 / F.log2(i + 1))
+    ideal = F.transform(F.when(F.col("__ideal") > 0, F.sequence(F.lit(1), F.col("__ideal"))).otherwise(F.array().cast("array<int>")), lambda i: 1 / F.log2(i + 1))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     first = F.array_position("__hit", True)
     some = (F.col("__n") > 0) & (F.size(top) > 0)
@@ -33,6 +34,9 @@ def ir_metrics(results: DataFrame, k: int) -> DataFrame:
         value(hits / F.col("__n")).alias("recall"),
         value(F.when(first > 0, 1 / first).otherwise(F.lit(0.0))).alias("mrr"),
         value(F.coalesce(F.try_divide(total(gains), total(ideal)), F.lit(0.0))).alias("ndcg"),
+        F.size(top).alias("n_retrieved"),
+        F.col("__n").alias("n_relevant"),
+        F.size(F.array_intersect(top, "relevant")).alias("n_relevant_retrieved"),
     )
 
 
@@ -122,3 +126,16 @@ def access_history(accesses: DataFrame, every: int = 10) -> DataFrame:
     hits, n, depth = F.sum(F.col("hit").cast("int")).over(order), F.count("*").over(order), F.sum("depth").over(order)
     out = accesses.select("session", "seq", F.round(hits / n, 4).alias("hit_rate"), F.round(depth / n, 2).alias("avg_depth"))
     return out.where(F.col("seq") % every == 0)
+
+
+def run_markdown(run: str, settings: dict[str, object], summary: dict[str, float], rows: list[dict[str, object]], errors: list[str] = []) -> str:
+    """The report of one run: its settings, its means, a row a query and its errors. A report for reading, so made on the driver."""
+    lines = [f"# Run {run}", "", "| setting | value |", "|---|---|", *(f"| {k} | {v} |" for k, v in settings.items())]
+    lines += ["", "| measure | value |", "|---|---|", *(f"| {k} | {v:.4g} |" for k, v in summary.items()), ""]
+    names = list(rows[0]) if rows else []
+    cell = lambda v: f"{v:.4g}" if isinstance(v, float) else str(v) if len(str(v)) <= 50 else str(v)[:50] + "..."
+    if rows:
+        lines += ["| " + " | ".join(names) + " |", "|---" * len(names) + "|", *("| " + " | ".join(cell(r[n]) for n in names) + " |" for r in rows)]
+    if errors:
+        lines += ["", f"Errors: {len(errors)}", *(f"- {e}" for e in errors)]
+    return "\n".join(lines) + "\n"

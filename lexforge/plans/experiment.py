@@ -33,11 +33,11 @@ def synchronise(seen: DataFrame, notes: DataFrame, chunks: DataFrame, stages: li
 
 
 def prompt_context(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, k: int = 5, threshold: float = 0.5, budget: int = 2048) -> DataFrame:
-    """query_id and the context text: top-k chunks within half the token budget, by priority."""
-    found = retrieval.top_k(retrieval.scores(queries, vectors, threshold), k)
+    """query_id and the context text: top-k chunks within half the token budget, by priority, then relevance."""
+    found = retrieval.top_k(retrieval.scores(queries, vectors, threshold, k=k), k)
     rows = found.join(chunks.select(F.col("id").alias("chunk_id"), "title", "content", "priority"), "chunk_id").withColumn("tokens", tx.token_estimate(F.col("content")))
-    kept = retrieval.apply_budget(rows.select("query_id", "chunk_id", "tokens", "priority"), budget // 2).select("query_id", "chunk_id")
-    items = rows.join(kept, ["query_id", "chunk_id"], "left_semi").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("title").alias("heading"), F.col("content").alias("body")))).alias("x"))
+    kept = retrieval.apply_budget(rows.select("query_id", "chunk_id", "tokens", "priority", "rank"), budget // 2).select("query_id", "chunk_id", "place")
+    items = rows.join(kept, ["query_id", "chunk_id"]).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", F.col("title").alias("heading"), F.col("content").alias("body")))).alias("x"))
     return items.select("query_id", tx.format_prompt(F.col("x"), "Context").alias("context"))
 
 

@@ -44,24 +44,24 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
 _SCORES = "scores as (select item_id query_id, v.vec_id chunk_id, list_inner_product(q.embedding::double[], v.embedding::double[]) score from benchmark join embeddings q on q.vec_id = item_id cross join embeddings v)"
 
 
-# vectors -----------------------------------------------------------------------------------------
+# vectors
 
 
 @query("select query_id, chunk_id, rank, round(score, 6) score from (select *, row_number() over (partition by query_id order by score desc, chunk_id)::int rank from scores where score >= 0) where rank <= 5", _SCORES)
 def vec_topk(spark: SparkSession, d: str) -> DataFrame:
     q = _queries(spark, d)
-    found = retrieval.scores(q, _v(spark, d).select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), n_queries=q.count())
+    found = retrieval.scores(q, _v(spark, d).select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), k=K)
     return retrieval.top_k(found, K).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query("select query_id, chunk_id, round(score, 6) score from scores where score >= 0.3", _SCORES)
 def vec_threshold(spark: SparkSession, d: str) -> DataFrame:
     q = _queries(spark, d)
-    found = retrieval.scores(q, _v(spark, d).select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), THRESHOLD, q.count())
+    found = retrieval.scores(q, _v(spark, d).select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), THRESHOLD)
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
-# sources and sinks -------------------------------------------------------------------------------
+# sources and sinks
 
 _PARSE = r"""parsed as (select stem, case when raw like '---%' then regexp_extract(raw, '(?s)^---\n(.*?)\n---\n', 1) else '' end f, regexp_replace(case when raw like '---%' then regexp_replace(raw, '(?s)^---\n.*?\n---\n', '') else raw end, '^\s+|\s+$', '', 'g') body from raw),
 fields as (select *, coalesce(nullif(trim(regexp_extract(f, 'id: ([^\n]*)', 1)), ''), stem) id, trim(regexp_extract(f, 'tags: ([^\n]*)', 1)) t, try_cast(regexp_extract(f, 'priority: ([^\n]*)', 1) as int) p from parsed),
@@ -94,7 +94,7 @@ def plan_notes(spark: SparkSession, d: str) -> DataFrame:
     return sinks.plan_notes(fx.notes(spark, d).select("id", "title", F.col("content").alias("body")), "plan")
 
 
-# the store ---------------------------------------------------------------------------------------
+# the store
 
 
 @query(f"select s.id, s.title, s.priority, s.content, sha256(s.content) content_hash, coalesce(o.created_at, '{fx.NOW}') created_at, '{fx.NOW}' updated_at from seen s left join stored o using (id) union all select id, title, priority, content, content_hash, created_at, updated_at from stored where id not in (select id from seen)")
@@ -222,34 +222,36 @@ def detect_changes(spark: SparkSession, d: str) -> DataFrame:
     return store.detect_changes(fx.seen(spark, d), store.with_chunk_facts(fx.chunks(spark, d)).where("note_id <> 'doc_4'"))
 
 
-@query("select 'chunks' table_name, count(*) n_chunks, sum(length(content))::bigint n_chars from chunks where note_id in (select id from seen) and false union all select 'notes', count(*), sum(length(content))::bigint from (select content from seen union all select content from stored where id not in (select id from seen) and false)")
+@query(
+    rf"""select id, note_id, sha256(content) content_hash, strategy from chunks
+        where note_id not in (select s.id from seen s join stored o using (id) where o.content_hash <> sha256(s.content)) and note_id not in (select id from stored where id not in (select id from seen))
+        union all select id || '::0::document', id, sha256(regexp_replace(content, '^\s+|\s+$', '', 'g')), 'document' from seen"""
+)
 def synchronise(spark: SparkSession, d: str) -> DataFrame:
-    """The notes left after a synchronisation, and that no chunk is left of a note that went."""
+    """The chunks after a synchronisation: those kept, and those made of notes that are new, changed or not yet cut in this way."""
+    old = fx.chunks(spark, d).select("id", "note_id", "title", "content", "strategy", "order")
+    _, chunks, _ = experiment.synchronise(fx.seen(spark, d), fx.stored(spark, d), store.with_chunk_facts(old), [("document", {})], F.lit(fx.NOW))
+    return chunks.select("id", "note_id", "content_hash", "strategy")
+
+
+@query("select id, tgt from (select id from stored union select id from seen) left join (select id as tgt from seen) on id = tgt where tgt is null or id in (select id from seen)")
+def synchronised_notes(spark: SparkSession, d: str) -> DataFrame:
+    """The notes after a synchronisation that leaves notes alone which went, and which of them were seen."""
     old = fx.chunks(spark, d).select("id", "note_id", "title", "content", "strategy", "order")
-    kept, chunks, _ = experiment.synchronise(fx.seen(spark, d), fx.stored(spark, d), store.with_chunk_facts(old), [("document", {})], F.lit(fx.NOW))
-    orphans = chunks.join(kept.select(F.col("id").alias("note_id")), "note_id", "left_anti")
-    count = lambda t, n: t.agg(F.count("*").alias("n_chunks"), F.sum(F.length("content")).alias("n_chars")).select(F.lit(n).alias("table_name"), "n_chunks", "n_chars")
-    return count(orphans, "chunks").union(count(kept, "notes"))
+    kept, _, _ = experiment.synchronise(fx.seen(spark, d), fx.stored(spark, d), store.with_chunk_facts(old), [("document", {})], F.lit(fx.NOW), delete_removed=False)
+    return kept.select("id").join(fx.seen(spark, d).select("id", F.col("id").alias("tgt")), "id", "left")
 
 
-# text functions ----------------------------------------------------------------------------------
+# text functions
 
 _SLUG = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(T), '[^a-z0-9\s-]', '', 'g'), '\s+', '-', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g')"
 _WORDS = r"regexp_extract_all(T, '[\p{L}\p{N}\p{Mn}_]{2,}')"
 
 
-@query(rf"select doc_id, (length(text) // 4)::int tokens, sha256(text) hash, coalesce(nullif({_SLUG.replace('T', 'substr(text, 1, 80)')}, ''), 'sin-titulo') slug, left(regexp_replace(regexp_replace(lower(substr(text, 1, 80)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 30) plan_slug, strip_accents(lower(text)) plain, regexp_replace(text, '^\s+|\s+$', '', 'g') stripped from documents")
+@query(rf"select doc_id, (length(text) // 4)::int tokens, sha256(text) hash, coalesce(nullif({_SLUG.replace('T', 'text')}, ''), 'sin-titulo') slug, left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 30) plan_slug, strip_accents(lower(text)) plain, regexp_replace(text, '^\s+|\s+$', '', 'g') stripped from documents")
 def text_scalars(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    head = F.substring(t, 1, 80)
-    return fx.read(spark, d, "documents").select("doc_id", tx.token_estimate(t).alias("tokens"), tx.content_hash(t).alias("hash"), tx.slugify(head).alias("slug"), tx.plan_slug(head).alias("plan_slug"), tx.normalize(t).alias("plain"), tx.strip(t).alias("stripped"))
-
-
-@query(rf"select doc_id, coalesce(nullif({_SLUG.replace('T', 'text')}, ''), 'sin-titulo') slug, left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 30) plan_slug from documents")
-def text_slugs_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The slugs of text_scalars over the whole text."""
-    t = F.col("text")
-    return fx.read(spark, d, "documents").select("doc_id", tx.slugify(t).alias("slug"), tx.plan_slug(t).alias("plan_slug"))
+    return fx.read(spark, d, "documents").select("doc_id", tx.token_estimate(t).alias("tokens"), tx.content_hash(t).alias("hash"), tx.slugify(t).alias("slug"), tx.plan_slug(t).alias("plan_slug"), tx.normalize(t).alias("plain"), tx.strip(t).alias("stripped"))
 
 
 @query(rf"select doc_id, {_WORDS.replace('T', 'text')} words, array_to_string(list_sort(list_distinct({_WORDS.replace('T', 'lower(text)')})), ' ') cache_key from documents")
@@ -283,15 +285,46 @@ def context_hashes(spark: SparkSession, d: str) -> DataFrame:
     return g.select("conv_id", tx.context_hash(F.col("q"), F.col("c")).alias("hash"))
 
 
-_LIST = lambda w: "[" + ", ".join(f"'{x}'" for x in w) + "]"
+_VERBS = "['crea', 'crear', 'desarrolla', 'desarrollar', 'diseña', 'diseñar', 'implementa', 'implementar', 'construye', 'construir', 'programa', 'programar', 'genera', 'generar', 'automatiza', 'automatizar', 'refactoriza', 'refactorizar', 'build', 'create', 'develop', 'design', 'implement', 'generate']"
+_YES = "('sí', 'si', 'ok', 'apruebo', 'adelante', 'yes', 'confirmo', 'procede', 'ejecuta', 'listo', 'dale', 'bien', 'correcto')"
+_SAID = f"said as (select conv_id, turn, regexp_replace(case turn % 5 when 1 then ' Procede ' when 2 then 'Vale' when 3 then text || ' generar el informe' else text end, '^\\s+|\\s+$', '', 'g') s from conversations)"
 
 
-@query(rf"select conv_id, turn, (length(s) >= 100 and s not like '%?' and len(list_intersect({_WORDS.replace('T', 'lower(s)')}, {_LIST(tx.VERBS)})) > 0) triggers, list_contains({_LIST(tx.APPROVALS)}, lower(s)) approves from (select conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') s from conversations)")
+@query(rf"select conv_id, turn, (length(s) >= 100 and s not like '%?' and len(list_intersect(regexp_extract_all(lower(s), '[\p{{L}}\p{{N}}\p{{Mn}}_]+'), {_VERBS})) > 0) triggers, lower(s) in {_YES} approves from said", _SAID)
 def message_kinds(spark: SparkSession, d: str) -> DataFrame:
-    return fx.read(spark, d, "conversations").select("conv_id", "turn", tx.is_trigger(F.col("text")).alias("triggers"), tx.is_approval(F.col("text")).alias("approves"))
+    """Messages, some of them with an answer or a wish put in."""
+    turn, text = F.col("turn") % 5, F.col("text")
+    said = F.when(turn == 1, F.lit(" Procede ")).when(turn == 2, F.lit("Vale")).when(turn == 3, F.concat(text, F.lit(" generar el informe"))).otherwise(text)
+    return fx.read(spark, d, "conversations").select("conv_id", "turn", tx.is_trigger(said).alias("triggers"), tx.is_approval(said).alias("approves"))
+
+
+@query("select id, '[' || array_to_string(list_transform(tags, lambda t: '\"' || t || '\"'), ',') || ']' json, tags from notes")
+def tags_json(spark: SparkSession, d: str) -> DataFrame:
+    t = fx.notes(spark, d).select("id", tx.tags_json(F.col("tags")).alias("json"))
+    return t.select("id", "json", tx.tags_from_json(F.col("json")).alias("tags"))
+
+
+_PLAN = r"""'Plan: ```json {"tasks": [{"id": "a' || conv_id || '", "description": "d"}, {"depends_on": ["a' || conv_id || '"]}]} ``` done'"""
+
+
+@query(r"select conv_id, unnest(['a' || conv_id, 'task_2']) id, unnest(['d', '']) description, unnest([[]::varchar[], ['a' || conv_id]]) depends_on from (select distinct conv_id from conversations)")
+def plan_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Tasks of a model's answers, with the defaults of what is absent."""
+    c = fx.read(spark, d, "conversations").select("conv_id").distinct()
+    tasks = c.select("conv_id", F.explode(tx.parse_plan(F.expr(_PLAN))).alias("t"))
+    return tasks.select("conv_id", "t.id", "t.description", "t.depends_on")
+
 
+@query("select conv_id, ['q' || conv_id, 'b', 'c', 'd'] questions, 'Proyecto Sin Título' title, 'r' || conv_id description, ['x'] requirements, ['sdd', 'proyecto_sin_t_tulo'] tags from (select distinct conv_id from conversations)")
+def design_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Questions (four at most) and designs of a model's answers."""
+    c = fx.read(spark, d, "conversations").select("conv_id").distinct()
+    asked = F.expr(r"""'Ask: ["q' || conv_id || '", "", "b", null, "c", "d", "e"] please'""")
+    design = tx.parse_design(F.lit('```{"requirements": ["x"]}```'), F.expr("'r' || conv_id"))
+    return c.select("conv_id", tx.parse_questions(asked).alias("questions"), design.alias("s")).select("conv_id", "questions", "s.title", "s.description", "s.requirements", "s.tags")
 
-# tag search and budget ---------------------------------------------------------------------------
+
+# tag search and budget
 
 _TAGQ = r"tagq as (select conv_id * 1000 + turn query_id, list_distinct(regexp_extract_all(strip_accents(lower('note ' || ['en', 'fr', 'de', 'es'][(1 + turn % 4)::int] || ' src' || conv_id % 25)), '[\p{L}\p{N}_]{2,}')) words from conversations)"
 
@@ -316,13 +349,13 @@ def catalogue_search(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.tag_search(q, items, K, by_priority=False)
 
 
-@query("select note_id query_id, unnest(list_reduce(list(struct_pack(p := -(1 + pos % 10), chunk_id := id, tokens := (length(content) // 4)::bigint) order by -(1 + pos % 10), id), lambda a, x: case when a.used + x.tokens <= 500 then {'used': a.used + x.tokens, 'kept': list_append(a.kept, {'chunk_id': x.chunk_id, 'tokens': x.tokens::int})} else a end, {'used': 0::bigint, 'kept': []::struct(chunk_id varchar, tokens int)[]}).kept, recursive := true) from chunks group by note_id")
+@query("select note_id query_id, unnest(list_reduce(list(struct_pack(chunk_id := id, tokens := (length(content) // 4)::bigint) order by -(1 + pos % 10), -pos), lambda a, x: case when a.used + x.tokens <= 500 then {'used': a.used + x.tokens, 'kept': list_append(a.kept, {'chunk_id': x.chunk_id, 'tokens': x.tokens::int})} else a end, {'used': 0::bigint, 'kept': []::struct(chunk_id varchar, tokens int)[]}).kept, recursive := true) from chunks group by note_id")
 def token_budget(spark: SparkSession, d: str) -> DataFrame:
-    r = fx.chunks(spark, d).select(F.col("note_id").alias("query_id"), F.col("id").alias("chunk_id"), tx.token_estimate(F.col("content")).alias("tokens"), (1 + F.col("order") % 10).alias("priority"))
-    return retrieval.apply_budget(r, 500)
+    r = fx.chunks(spark, d).select(F.col("note_id").alias("query_id"), F.col("id").alias("chunk_id"), tx.token_estimate(F.col("content")).alias("tokens"), (1 + F.col("order") % 10).alias("priority"), (-F.col("order")).alias("rank"))
+    return retrieval.apply_budget(r, 500).drop("place")
 
 
-# chunking ----------------------------------------------------------------------------------------
+# chunking
 
 
 def _sql_cuts(weights: str, limit: int) -> str:
@@ -494,21 +527,23 @@ def signal_concat(spark: SparkSession, d: str) -> DataFrame:
     return chunking.concat_signals(f)
 
 
-# evaluation --------------------------------------------------------------------------------------
+# evaluation
 
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
-    """Top 5 of each query; vectors of the query's label (ids ending alike) are relevant."""
-    top = vec_topk(spark, d)
+    """Top 5 of each query, of every fifth only the first; relevant ids as listed, one of them twice."""
+    top = vec_topk(spark, d).where("query_id % 5 > 0 or rank = 1")
     got = top.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("v"), F.col("chunk_id").cast("string")).alias("c")))).alias("r"))
-    return got.select("query_id", F.col("r.c").alias("retrieved"), F.array(F.concat(F.lit("v"), F.col("query_id").cast("string")), F.lit("v1"), F.lit("7")).alias("relevant"))
+    return got.select("query_id", F.col("r.c").alias("retrieved"), F.array(F.concat(F.lit("v"), F.col("query_id").cast("string")), F.lit("v1"), F.lit("v1"), F.lit("7")).alias("relevant"))
 
 
-_EVAL = """top as (select query_id, chunk_id, rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) rank from scores where score >= 0) where rank <= 5),
-hits as (select query_id, rank, (contains('v' || chunk_id, 'v' || query_id) or contains('v' || chunk_id, 'v1') or contains('v' || chunk_id, '7'))::int hit, case when query_id = 1 then 2 else 3 end n from top)"""
+_EVAL = """top as (select query_id, chunk_id, rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) rank from scores where score >= 0) where rank <= 5 and (query_id % 5 > 0 or rank = 1)),
+res as (select query_id, list('v' || chunk_id order by rank) r, ['v' || query_id, 'v1', 'v1', '7'] rel from top group by query_id),
+flags as (select *, list_transform(r, lambda x: len(list_filter(rel, lambda y: contains(x, y))) > 0) h from res),
+gains as (select *, list_sum(list_transform(range(1, len(h) + 1), lambda i: case when h[i] then 1 / log2(i + 1) else 0 end)) dcg, list_sum(list_transform(range(1, least(len(list_distinct(rel)), len(r)) + 1), lambda i: 1 / log2(i + 1))) idcg, len(list_filter(h, lambda x: x)) hits from flags)"""
 
 
-@query("select query_id, sum(hit) / count(*)::double as precision, sum(hit) / max(n)::double recall, coalesce(1.0 / min(rank) filter (hit = 1), 0)::double mrr, round(sum(hit / log2(rank + 1)) / max(case n when 2 then 1 / log2(2) + 1 / log2(3) else 1 / log2(2) + 1 / log2(3) + 1 / log2(4) end), 6) ndcg from hits group by query_id", _SCORES, _EVAL)
+@query("select query_id, hits / len(r)::double as precision, hits / len(rel)::double recall, coalesce(1.0 / list_position(h, true), 0)::double mrr, round(dcg / idcg, 6) ndcg, len(r)::int n_retrieved, len(rel)::int n_relevant, len(list_intersect(r, rel))::int n_relevant_retrieved from gains", _SCORES, _EVAL)
 def ir_metrics(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.ir_metrics(_results(spark, d), K).withColumn("ndcg", F.round("ndcg", 6))
 
@@ -579,7 +614,7 @@ def access_history(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.access_history(a)
 
 
-# task graphs -------------------------------------------------------------------------------------
+# task graphs
 
 
 @query("select t.graph, t.id, needs from (select graph, id, unnest(depends_on) needs from tasks) t anti join tasks k on k.graph = t.graph and k.id = t.needs")
@@ -592,11 +627,6 @@ walk as (select graph, id, 0 lvl from tasks where len(depends_on) = 0 union sele
 looped as (select graph, id, needs reach from edges union select l.graph, l.id, e.needs from looped l join edges e on e.graph = l.graph and e.id = l.reach)"""
 
 
-@query("select graph, id, max(lvl)::int level from walk where graph % 10 <> 4 group by all", _WALK)
-def dag_levels(spark: SparkSession, d: str) -> DataFrame:
-    return graph.levels(fx.tasks(spark, d).where("graph % 10 <> 4")).where("level is not null")
-
-
 @query("select t.graph, t.id, count(l.id) > 0 in_cycle from tasks t left join (select distinct graph, id from (select graph, id from looped where id = reach union all select o.graph, o.id from looped o join (select distinct graph, id from looped where id = reach) c on c.graph = o.graph and c.id = o.reach)) l on l.graph = t.graph and l.id = t.id group by all", _WALK)
 def dag_order(spark: SparkSession, d: str) -> DataFrame:
     return graph.order(fx.tasks(spark, d)).select("graph", "id", "in_cycle")
@@ -608,11 +638,17 @@ def task_ready(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("select t.graph, t.id, case when count(b.id) = 0 then max(w.lvl)::int end level from tasks t left join walk w on w.graph = t.graph and w.id = t.id left join behind b on b.graph = t.graph and b.id = t.id group by t.graph, t.id", _WALK, "behind as (select graph, id from looped where id = reach union select o.graph, o.id from looped o join looped c on c.graph = o.graph and c.id = o.reach and c.id = c.reach)")
-def dag_levels_whole(spark: SparkSession, d: str) -> DataFrame:
-    """dag_levels over all graphs; tasks of or behind a cycle have null."""
+def dag_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Levels of all graphs; tasks of or behind a cycle have null."""
     return graph.levels(fx.tasks(spark, d))
 
 
+@query()
+def dag_places(spark: SparkSession, d: str) -> DataFrame:
+    """The order of execution itself; what stands in a cycle has no place."""
+    return graph.order(fx.tasks(spark, d))
+
+
 @query()
 def next_task(spark: SparkSession, d: str) -> DataFrame:
     t = fx.tasks(spark, d)
@@ -624,13 +660,13 @@ def task_progress(spark: SparkSession, d: str) -> DataFrame:
     return graph.progress(fx.tasks(spark, d))
 
 
-# the cache ---------------------------------------------------------------------------------------
+# the cache
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
     c = fx.read(spark, d, "conversations")
     words = F.array_distinct(tx.tokens(F.lower("text")))
-    return c.select((F.col("conv_id") % 20).alias("session"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), words.alias("words"), F.array(F.concat(F.lit("c"), (F.col("turn") % 7).cast("string")), F.concat(F.lit("c"), (F.col("conv_id") % 9).cast("string"))).alias("results"))
+    return c.select(F.col("conv_id").alias("session"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), words.alias("words"), F.array(F.concat(F.lit("c"), (F.col("turn") % 7).cast("string")), F.concat(F.lit("c"), (F.col("conv_id") % 9).cast("string"))).alias("results"))
 
 
 @query()
@@ -645,20 +681,20 @@ def cache_two_level(spark: SparkSession, d: str) -> DataFrame:
     return cache.two_level(log.withColumn("results", tagged), capacity=10)
 
 
-@query(r"select session, seq, key, row_number() over (partition by session, key order by seq) > 1 and key <> '' hit from (select conv_id % 20 session, conv_id * 1000 + turn seq, array_to_string(list_sort(list_distinct(w[1:2])), ' ') as key from (select *, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{Mn}_]{2,}') w from conversations))")
+@query(r"select session, seq, key, row_number() over (partition by session, key order by seq) > 1 and key <> '' hit from (select conv_id session, conv_id * 1000 + turn seq, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{Mn}_]{2,}'))), ' ') as key from conversations)")
 def cache_exact(spark: SparkSession, d: str) -> DataFrame:
-    c = fx.read(spark, d, "conversations")
-    log = c.select((F.col("conv_id") % 20).alias("session"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.slice(tx.tokens(F.lower("text")), 1, 2).alias("words"))
-    return cache.repeats_exactly(log)
-
-
-@query(r"select session, seq, key, row_number() over (partition by session, key order by seq) > 1 and key <> '' hit from (select conv_id % 20 session, conv_id * 1000 + turn seq, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{Mn}_]{2,}'))), ' ') as key from conversations)")
-def cache_exact_whole(spark: SparkSession, d: str) -> DataFrame:
-    """cache_exact over all words of each message."""
+    """Hits of the exact-key cache, over all words of each message."""
     return cache.repeats_exactly(_log(spark, d))
 
 
-@query()
+@query(
+    "select query_id, '## Context' || chr(10) || chr(10) || string_agg('### ' || source || chr(10) || text, chr(10) || chr(10) order by place) context from taken join documents on doc_id = chunk_id group by query_id",
+    _SCORES,
+    """best as (select query_id, chunk_id, rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) rank from scores where score >= 0.5) where rank <= 5),
+listed as (select query_id, list(struct_pack(chunk_id := chunk_id, tokens := (length(text) // 4)::bigint) order by -(1 + doc_id % 10), rank) l from best join documents on doc_id = chunk_id group by query_id),
+chosen as (select query_id, list_reduce(l, lambda a, x: case when a.used + x.tokens <= 1024 then {'used': a.used + x.tokens, 'kept': list_append(a.kept, x.chunk_id)} else a end, {'used': 0::bigint, 'kept': []::bigint[]}).kept k from listed),
+taken as (select query_id, unnest(k) chunk_id, unnest(range(len(k))) place from chosen)""",
+)
 def prompt_context(spark: SparkSession, d: str) -> DataFrame:
     v = _v(spark, d).select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
     c = fx.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("text").alias("content"), (1 + F.col("doc_id") % 10).alias("priority"))

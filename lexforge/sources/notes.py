@@ -88,14 +88,26 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_judge_cache(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object of hash to scores as rows; a corrupt file is empty."""
+    """A JSON object of hash to scores, or JSON lines of such objects, as rows; corrupt ones are empty."""
     scores = "struct<faithfulness:double,answer_relevancy:double,context_precision:double,context_recall:double>"
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,{scores}>").alias("m"))
-    return raw.select(F.explode("m").alias("hash", "s")).select("hash", "s.*")
+    kind = f"map<string,{scores}>"
+    whole = spark.read.text(path, wholetext=True).select("value", F.from_json("value", kind).alias("m"), F.size(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("n"))
+    lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.from_json(x, kind)), lambda m: m.isNotNull())
+    first = F.split("value", "\n")[0]
+    each = F.when((F.col("n") > 1) & F.from_json(first, kind).isNotNull() & first.rlike(r"\}\s*$"), lines).otherwise(F.array("m"))
+    return whole.select(F.explode(each).alias("m")).where("m is not null").select(F.explode("m").alias("hash", "s")).select("hash", "s.*")
 
 
 def write_judge_cache(cache: DataFrame, path: str) -> None:
-    cache.write.mode("overwrite").parquet(path)
+    """Judge scores as JSON lines, an object of hash to scores each, which read_judge_cache() takes as well as one object of all."""
+    scores = F.struct("faithfulness", "answer_relevancy", "context_precision", "context_recall")
+    cache.select(F.to_json(F.create_map("hash", scores)).alias("value")).write.mode("overwrite").text(path)
+
+
+def clear_judge_cache(spark: SparkSession, path: str) -> bool:
+    """Deletes a judge cache; whether there was one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def override(items: DataFrame, key: str = "name", rank: str = "path_rank") -> DataFrame:
