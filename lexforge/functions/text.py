@@ -47,10 +47,8 @@ def content_hash(c: Column) -> Column:
 
 def slugify(c: Column, empty: str = "sin-titulo", collapse: bool = True) -> Column:
     """Lower case, other characters than a-z 0-9 white space and - dropped (accented letters too), white space to -."""
-    s = F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)[^a-z0-9\s-]", ""), r"(?U)\s+", "-")
-    if collapse:
-        s = F.regexp_replace(s, "-+", "-")
-    s = F.regexp_replace(s, r"\A-+|-+\z", "")
+    kept = F.regexp_replace(F.lower(c), r"(?U)[^a-z0-9\s-]+", "")
+    s = F.btrim(F.regexp_replace(kept, r"(?U)[\s-]+" if collapse else r"(?U)\s+", "-"), F.lit("-"))
     return F.when(s == "", F.lit(empty)).otherwise(s)
 
 

@@ -328,5 +328,7 @@ def adapt(fragments: DataFrame) -> DataFrame:
     """Chunks for the store from note_id, fragments: chunk_id (note::slug-i), title, content, order."""
     rows = fragments.select("note_id", F.posexplode("fragments").alias("order", "content"))
     title = tx.fragment_title(F.col("content"), F.concat(F.col("note_id"), F.lit(" parte "), (F.col("order") + 1).cast("string")))
-    slug = tx.slugify(title, "chunk", collapse=False)
-    return rows.select("note_id", F.concat(F.col("note_id"), F.lit("::"), slug, F.lit("-"), F.col("order").cast("string")).alias("chunk_id"), title.alias("title"), "content", "order")
+    # explode() of one element: the title is worked out once, however often it is used behind it
+    titled = rows.select("note_id", "order", "content", F.explode(F.array(title)).alias("title"))
+    slug = tx.slugify(F.col("title"), "chunk", collapse=False)
+    return titled.select("note_id", F.concat(F.col("note_id"), F.lit("::"), slug, F.lit("-"), F.col("order").cast("string")).alias("chunk_id"), "title", "content", "order")
