@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lexforge.llm import textbuf as tb
 
-BROADCAST_BYTES, BATCH_ROWS = 64 << 20, 2000
+BROADCAST_BYTES, BATCH_ROWS = 16 << 20, 1000
 _WRITTEN: list[str] = []
 
 

@@ -50,10 +50,17 @@ class Counter:
     def __init__(self, raw: bytes) -> None:
         tokens = bpe.read_ranks(raw)
         self.raw, self.width = raw, np.array([len(t) for t in tokens], dtype=np.int64)
-        ranks = {t: k for k, t in enumerate(tokens)}
-        self.whole = tiktoken.Encoding("whole", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
         # where no blank follows another one, the look-ahead makes no difference and only costs time
-        self.quick = tiktoken.Encoding("quick", pat_str=bpe.PATTERN.replace(r"|\s+(?!\S)", ""), mergeable_ranks=ranks, special_tokens={})
+        self.quick = self._encoding(bpe.PATTERN.replace(r"|\s+(?!\S)", ""))
+        self._whole: tiktoken.Encoding | None = None
+
+    def _encoding(self, pattern: str) -> tiktoken.Encoding:
+        return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={t: k for k, t in enumerate(bpe.read_ranks(self.raw))}, special_tokens={})
+
+    @property
+    def whole(self) -> tiktoken.Encoding:
+        self._whole = self._whole or self._encoding(bpe.PATTERN)
+        return self._whole
 
     def __call__(self, text: str) -> np.ndarray:
         try:
