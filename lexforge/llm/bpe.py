@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from lexforge.llm import textbuf as tb
-from lexforge.llm.common import documents, small_batches
+from lexforge.llm.common import documents, frugal, small_batches
 
 VOCABULARY, MAX_NODES = "/opt/tokenizers/byte_bpe_50k.tiktoken", 1_000_000
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -208,6 +208,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, max_nodes: int = MAX_NODES)
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(_raw(path))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = encoder(shared.value, max_nodes)
         for b in batches:
@@ -228,6 +229,7 @@ def decode(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id, text of a table doc_id, tokens. Null tokens give null text; bytes that are no UTF-8 become U+FFFD; an unknown token is an error."""
     shared = tokens.sparkSession.sparkContext.broadcast(_raw(path))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = vocabulary(shared.value).tokens
         width = np.array([len(t) for t in table], dtype=np.int64)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,27 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker that is kept for later tasks would hold on to its peak."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim:
+        trim(0)
+
+
+def frugal(work: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """work, whose task gives its memory back when it ends."""
+
+    @wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet to the shared folder and read again: lineage ends here and a lost executor costs nothing."""
     spark = df.sparkSession
@@ -135,6 +158,7 @@ def scan_texts(docs: DataFrame, added: str, scan: Callable[[list[str | None]], l
     schema = T.StructType(kept + [f for f in new.fields if f.name != column])
     types = {f.name: to_arrow_type(f.dataType) for f in new.fields}
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = {n: v[0] for n, v in zip(names, scan([None]))}
         for whole in batches:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lexforge.llm import bpe
 from lexforge.llm import textbuf as tb
-from lexforge.llm.common import documents, small_batches, written
+from lexforge.llm.common import documents, frugal, give_back, small_batches, written
 
 CAPACITY, CUT_COST, SPLIT_COST, SHARD_TOKENS, MAX_SHARDS = 2048, 64, 512, 1 << 18, 1 << 20
 SCHEMA = "shard long, window int, seq int, doc_id long, first_sentence int, last_sentence int, tokens int, window_tokens int, padding int, ends_with string, text string"
@@ -130,6 +130,7 @@ def measured(docs: DataFrame, path: str, capacity: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bpe._raw(path))
     schema = "doc_id long, version long, text string, n long, size array<int>, end array<int>, kind array<int>"
 
+    @frugal
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = counter(shared.value)
         for b in batches:
@@ -203,6 +204,7 @@ def windows(docs: DataFrame, capacity: int = CAPACITY, cut_cost: int = CUT_COST,
     rows = written(measured(docs, path, capacity).withColumn("row", F.monotonically_increasing_id()), "measured")
     starts = docs.sparkSession.sparkContext.broadcast(shard_starts(rows, shard_tokens))
 
+    @frugal
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = zip(*(b.column(k).to_pylist() for k in (0, 1, 2)))
@@ -210,6 +212,7 @@ def windows(docs: DataFrame, capacity: int = CAPACITY, cut_cost: int = CUT_COST,
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), *b.columns], ["shard", *b.schema.names])
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()  # what the shard before took
         shard = table.column("shard")[0].as_py()
         order = sorted(range(table.num_rows), key=[(d is not None, d or 0, v, r) for d, v, r in zip(*(table.column(c).to_pylist() for c in ("doc_id", "version", "row")))].__getitem__)
         table = table.take(pa.array(order)).combine_chunks()

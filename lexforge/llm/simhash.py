@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.llm import textbuf as tb
-from lexforge.llm.common import connected_components, documents, small_batches, small_side, written
+from lexforge.llm.common import connected_components, documents, frugal, small_batches, small_side, written
 
 BYTES, MAX_DISTANCE, LIST_ROWS, SHORT = 16, 13, 4096, 256
 _LOW = np.uint64(0x0101010101010101)
@@ -81,6 +81,7 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 def with_fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, hi, lo): one row for each row with an id and a word; null, empty and wordless texts have no fingerprint."""
 
+    @frugal
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = pc.utf8_lower(b.column(1))
@@ -107,6 +108,7 @@ def covering(max_distance: int, r: int) -> list[tuple[int, ...]]:
 def collisions(prints: DataFrame) -> np.ndarray:
     """For each byte position the chance that two fingerprints agree there."""
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts = _bytes(np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(2)], axis=1))
@@ -241,6 +243,7 @@ def near_classes(classes: DataFrame, max_distance: int, r: int, list_rows: int =
     least = least_subset(subsets)
     posting = "key long, rep long, hi long, lo long, docs long"
 
+    @frugal
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts = _bytes(np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2)], axis=1))
@@ -250,6 +253,7 @@ def near_classes(classes: DataFrame, max_distance: int, r: int, list_rows: int =
                     key = key << np.uint64(8) | parts[:, p]
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *b.columns], ["key", "rep", "hi", "lo", "docs"])
 
+    @frugal
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(cols: list[np.ndarray]) -> pa.RecordBatch:
             key, part, side, rep, hi, lo, docs = cols

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from lexforge.llm import induced
 from lexforge.llm import textbuf as tb
-from lexforge.llm.common import documents, shared_dir, small_batches, small_side, written
+from lexforge.llm.common import documents, frugal, shared_dir, small_batches, small_side, written
 
 MIN_WORDS, GRAM, SHARD_WORDS, BLOCK_WORDS, MEMORY, HOT_ROWS = 50, 8, 1 << 20, 1 << 18, 128 << 20, 1 << 14
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -89,6 +89,7 @@ def _words(b: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, np.nd
 
 
 def _stretches(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
+    @frugal
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, version = (b.column(c).to_numpy(zero_copy_only=False) for c in range(2))
@@ -103,6 +104,7 @@ def _stretches(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
 _FOUND = "sort boolean, anchor long, doc_id long, version long, lo int, hi int, first_doc long, first_version long, first_lo int"
 
 
+@frugal
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over (anchor, stretch, doc_id, version, lo, hi, active) sorted in that order: the first copy of each stretch of an active anchor (sort true), and the further copies of every stretch, in the first one's document too (sort false)."""
     names = [x.split()[0] for x in _FOUND.split(", ")]
@@ -158,6 +160,7 @@ def _shard(docs: DataFrame, jobs: DataFrame) -> DataFrame:
     need = docs.join(small_side(ids), "doc_id", "left_semi")
     joined = need.join(per_doc, ["doc_id", "version"]).select("doc_id", "version", "text", "jobs")
 
+    @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, version = (b.column(c).to_numpy(zero_copy_only=False) for c in range(2))
@@ -180,6 +183,7 @@ def _shard(docs: DataFrame, jobs: DataFrame) -> DataFrame:
 def _by_hash(stretches: DataFrame, min_words: int) -> DataFrame:
     """doc_id, version, lo, s, e, f of the windows of _shard()'s stretches that also stand in an earlier document, by the hashes of windows."""
 
+    @frugal
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, version, lo, words = (b.column(b.schema.get_field_index(c)) for c in ("doc_id", "version", "lo", "words"))
@@ -298,6 +302,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, shard
     if words:
         folder = shared_dir(spark) + "/lexforge-suffixes"
 
+        @frugal
         def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def stretches() -> Iterator[tuple[int, int, int, np.ndarray]]:
                 for b in batches:
@@ -353,6 +358,7 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, **options: int) ->
     keyed = docs.withColumn("__lx_text_id", F.xxhash64("text"))
     joined = keyed.join(side, (docs["doc_id"] == F.col("__lx_id")) & (F.col("__lx_text_id") == F.col("__lx_version")), "left")
 
+    @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             names = b.schema.names

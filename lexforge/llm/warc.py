@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from lexforge.llm.common import small_batches
+from lexforge.llm.common import frugal, small_batches
 
 FILE_BYTES, DICTIONARY_BYTES, LEVEL, DATE = 32 << 20, 64 << 10, 3, "1970-01-01T00:00:00Z"
 SKIPPABLE = 0x184D2A5D
@@ -121,6 +121,7 @@ def records(pages: DataFrame, file_bytes: int = FILE_BYTES, dictionary_bytes: in
     dated = date is not None and date in pages.columns
     spec = pages.select(*columns, *([pages[date].alias("date")] if dated else []))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         held: list[tuple[int | None, bytes]] = []
@@ -184,6 +185,7 @@ def write_files(frames: DataFrame, folder: str) -> DataFrame:
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """page_id, url, html of all .warc.zst files of a folder."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column(0):
