@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from lexforge.functions import text as tx
 from lexforge.functions import vector as vx
+from lexforge.operators.index import Encoder, with_unit_vectors
 
 SECTION = "struct<title:string,level:int,body:string>"
+BOUNDARY = "struct<position:int,confidence:double,reason:string>"
 
 
 def _none(kind: str) -> Column:
@@ -171,11 +173,24 @@ def _families(s: Column) -> Column:
     return let(s, lambda s: let(F.filter(numbers(s), lambda j: F.get(s, j)["level"] != 3), lambda others: F.transform(numbers(s), lambda i: one(s, others, i))))
 
 
-def section_chunks(docs: DataFrame, max_tokens: int = 512) -> DataFrame:
+def _refined(fam: DataFrame, encoder: Encoder, max_tokens: int, window_tokens: int, stride_tokens: int, threshold: float) -> DataFrame:
+    """fam with those parts of __b that are over max_tokens split where the vectors of their windows differ, all in its row."""
+    window, stride = window_tokens * 4, stride_tokens * 4
+    long = lambda f: tx.token_estimate(f) > max_tokens
+    windows = lambda f: F.when(long(f) & (F.length(f) >= window), sliding_windows(f, window, stride)).otherwise(_none("string"))
+    flat = fam.withColumn("__f", F.flatten(F.col("__b.parts"))).withColumn("__w", F.transform("__f", windows))
+    split = with_unit_vectors(flat, "__w", "__v", encoder).withColumn("__r", F.transform(F.arrays_zip("__f", "__v"), lambda x: split_windows(x["__f"], x["__v"], stride, threshold)))
+    first = split.withColumn("__at", running(F.transform("__b", lambda b: F.size(b["parts"]))))
+    own = lambda b, i: F.flatten(F.slice("__r", F.get("__at", i) + 1, F.size(b["parts"])))
+    return first.withColumn("__b", F.transform("__b", lambda b, i: F.struct(b["title"].alias("title"), own(b, i).alias("parts")))).drop("__f", "__w", "__v", "__r", "__at")
+
+
+def section_chunks(docs: DataFrame, max_tokens: int = 512, encoder: Encoder | None = None, window_tokens: int = 200, stride_tokens: int = 50, threshold: float = 0.5) -> DataFrame:
     """note_id, chunk_id, title, content, order, content_hash: Markdown sections as chunks.
 
     A level-2 section takes in its level-3 followers if all of it fits; else each stands for itself.
-    What is too long is cut at blank lines and filled greedily ('title (parte n)'). Sections without
+    What is too long is cut at blank lines (with an encoder, paragraphs over max_tokens also where the vectors of their sliding
+    windows differ) and filled greedily ('title (parte n)'). Sections without
     text are left out; a note without any gets one empty chunk. Chunk ids are note::slug, so titles
     that repeat in a note share an id.
     """
@@ -188,19 +203,21 @@ def section_chunks(docs: DataFrame, max_tokens: int = 512) -> DataFrame:
         swallowed = x["led"] & (merges(lead) | (tx.strip(lead["merged"]) == ""))
         return ~F.coalesce(swallowed, F.lit(False)) & (tx.strip(F.when(merges(x), x["merged"]).otherwise(x["body"])) != "")
 
-    def pieces(x: Column) -> Column:
-        def part(cut: Column, p: Column, k: Column) -> Column:
-            title = F.when(F.size(cut) > 1, F.concat(x["title"], F.lit(" (parte "), (k + 1).cast("string"), F.lit(")"))).otherwise(x["title"])
-            return F.struct(title.alias("title"), p.alias("content"))
-
-        def named(body: Column) -> Column:
-            split = greedy(F.split(body, "\n\n", -1), tx.token_estimate, max_tokens, "\n\n")
-            return let(split, lambda cut: F.transform(cut, lambda p, k: part(cut, p, k)))
+    def part(title: Column, cut: Column, p: Column, k: Column) -> Column:
+        name = F.when(F.size(cut) > 1, F.concat(title, F.lit(" (parte "), (k + 1).cast("string"), F.lit(")"))).otherwise(title)
+        return F.struct(name.alias("title"), p.alias("content"))
 
+    def paras(x: Column) -> Column:
         body = F.when(merges(x), x["merged"]).otherwise(x["body"])
-        return let(body, lambda b: F.when(fits(b), F.array(F.struct(x["title"].alias("title"), b.alias("content")))).otherwise(named(b)))
+        return let(body, lambda b: F.struct(x["title"].alias("title"), F.when(fits(b), F.array(b)).otherwise(F.split(b, "\n\n", -1)).alias("parts")))
+
+    def pieces(x: Column) -> Column:
+        return let(greedy(x["parts"], tx.token_estimate, max_tokens, "\n\n"), lambda cut: F.transform(cut, lambda p, k: part(x["title"], cut, p, k)))
 
-    fam = fam.withColumn("__p", F.flatten(F.transform(F.filter("__s", alive), pieces)))
+    fam = fam.withColumn("__b", F.transform(F.filter("__s", alive), paras))
+    if encoder is not None:
+        fam = _refined(fam, encoder, max_tokens, window_tokens, stride_tokens, threshold)
+    fam = fam.withColumn("__p", F.flatten(F.transform("__b", pieces)))
     parts = F.col("__p")
     empty = F.array(F.struct(F.lit("introduccion").alias("title"), F.lit("").alias("content")))
     out = fam.select("note_id", F.posexplode(F.when(F.size(parts) > 0, parts).otherwise(empty)).alias("order", "c"))
@@ -274,6 +291,13 @@ def split_at(text: Column, breaks: Column) -> Column:
     return F.when((F.coalesce(F.size(breaks), F.lit(0)) > 0) & (F.size(pieces) > 0), pieces).otherwise(F.array(text))
 
 
+def split_windows(text: Column, vectors: Column, stride_chars: int, threshold: float) -> Column:
+    """Pieces of a text, cut at the start of each sliding window whose cosine with the window before is under threshold."""
+    pairs = F.when(F.size(vectors) > 1, F.sequence(F.lit(0), F.size(vectors) - 2)).otherwise(_none("int"))
+    far = F.filter(pairs, lambda i: vx.cosine(vx.as_double(F.get(vectors, i)), vx.as_double(F.get(vectors, i + 1))) < threshold)
+    return let(F.transform(far, lambda i: (i + 1) * stride_chars), lambda breaks: split_at(text, breaks))
+
+
 def signals(units: DataFrame) -> DataFrame:
     """note_id, units, signal: similarity of each unit to the next one, from (note_id, pos, unit, vector)."""
     after = F.lead("vector").over(Window.partitionBy("note_id").orderBy("pos"))
@@ -283,34 +307,101 @@ def signals(units: DataFrame) -> DataFrame:
     return grouped.select("note_id", F.col("r.unit").alias("units"), F.filter(F.col("r.sim"), lambda x: x.isNotNull()).alias("signal"))
 
 
-def convolution(units: DataFrame, weights: list[float], threshold: float = 0.5, min_chars: int = 30) -> DataFrame:
-    """note_id, signal, smoothed, valleys, fragments: cuts after the valleys of the smoothed similarity signal.
+def running(sizes: Column) -> Column:
+    """The sum of the sizes before each place."""
+    start = F.struct(F.lit(0).alias("at"), _none("int").alias("out"))
+    return F.aggregate(sizes, start, lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["out"], s["at"]).alias("out")), lambda s: s["out"])
 
-    A fragment shorter than min_chars joins the one before; the first never does.
+
+def _at_valleys(units: Column, smoothed: Column, valleys: Column, min_chars: int) -> Column:
+    """struct<fragments, boundaries>: units cut after the valleys. A fragment shorter than min_chars joins the one before; the first never does.
+
+    A boundary stands where its fragment begins, counted in characters of the groups before, and is as sure as its valley is deep.
     """
+
+    def boundary(groups: Column, at: Column, i: Column) -> Column:
+        depth = F.coalesce(F.get(smoothed, F.get(valleys, F.least(i, F.size(valleys)) - 1)), F.lit(0.5))
+        sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - depth))
+        return F.struct(F.get(at, i).alias("position"), sure.alias("confidence"), F.format_string("kernel_valley(depth=%.3f)", depth).alias("reason"))
+
+    def joined(groups: Column, real: Column) -> Column:
+        opens = let(real, lambda r: F.filter(r, lambda i: (i == F.get(r, F.lit(0))) | (F.length(F.get(groups, i)) >= min_chars)))
+        upto = lambda o, k: F.coalesce(F.get(o, k + 1), F.size(groups))
+        text = lambda o, i, k: F.array_join(F.filter(F.slice(groups, i + 1, upto(o, k) - i), lambda g: g != ""), " ")
+        at = running(F.transform(groups, lambda g: F.length(g)))
+        later = lambda o: F.when(F.size(o) > 1, F.slice(o, 2, F.size(o) - 1)).otherwise(_none("int"))
+        return let(
+            opens,
+            lambda o: F.struct(
+                F.transform(o, lambda i, k: text(o, i, k)).alias("fragments"),
+                let(at, lambda a: F.transform(later(o), lambda i: boundary(groups, a, i))).cast(f"array<{BOUNDARY}>").alias("boundaries"),
+            ),
+        )
+
+    groups = F.transform(_groups(units, F.transform(valleys, lambda v: v + 1)), lambda g: tx.strip(F.array_join(g, " ")))
+    return let(groups, lambda g: joined(g, F.filter(F.when(F.size(g) > 0, F.sequence(F.lit(0), F.size(g) - 1)).otherwise(_none("int")), lambda i: F.get(g, i) != "")))
+
+
+def _smoothed(signal: Column, weights: list[float], threshold: float, then: Callable[[Column, Column], Column]) -> Column:
+    """then(smoothed signal, its valleys that stand between units)."""
+    return let(vx.clip(vx.convolve_same(signal, weights)), lambda y: let(F.filter(vx.valleys(y, threshold), lambda i: i < F.size(signal)), lambda v: then(y, v)))
+
+
+def convolved(units: Column, vectors: Column, weights: list[float], threshold: float = 0.5, min_chars: int = 30) -> Column:
+    """struct<signal, smoothed, valleys, fragments, boundaries> of the units of one text and their vectors, inside its row."""
+    pairs = F.when(F.size(units) > 1, F.sequence(F.lit(0), F.size(units) - 2)).otherwise(_none("int"))
+    signal = F.transform(pairs, lambda i: vx.dot(vx.as_double(F.get(vectors, i)), vx.as_double(F.get(vectors, i + 1))))
+
+    def done(x: Column, y: Column, v: Column, f: Column) -> Column:
+        return F.struct(x.alias("signal"), y.alias("smoothed"), v.alias("valleys"), f["fragments"].alias("fragments"), f["boundaries"].alias("boundaries"))
+
+    return let(signal, lambda x: _smoothed(x, weights, threshold, lambda y, v: let(_at_valleys(units, y, v, min_chars), lambda f: done(x, y, v, f))))
+
+
+def convolution(units: DataFrame, weights: list[float], threshold: float = 0.5, min_chars: int = 30) -> DataFrame:
+    """note_id, signal, smoothed, valleys, fragments, boundaries: cuts after the valleys of the smoothed similarity signal."""
     s = signals(units).withColumn("smoothed", vx.clip(vx.convolve_same(F.col("signal"), weights)))
     s = s.withColumn("valleys", F.filter(vx.valleys(F.col("smoothed"), threshold), lambda i: i < F.size("signal")))
-    groups = F.transform(_groups(F.col("units"), F.transform("valleys", lambda v: v + 1)), lambda g: tx.strip(F.array_join(g, " ")))
-    groups = F.filter(groups, lambda g: g != "")
-    opens = F.filter(F.sequence(F.lit(0), F.size("g") - 1), lambda i: (i > 0) & (F.length(F.get("g", i)) >= min_chars))
-    out = s.withColumn("g", groups).withColumn("fragments", F.transform(_groups(F.col("g"), opens), lambda x: F.array_join(x, " ")))
-    return out.select("note_id", "signal", "smoothed", "valleys", "fragments")
+    s = s.withColumn("f", _at_valleys(F.col("units"), F.col("smoothed"), F.col("valleys"), min_chars))
+    return s.select("note_id", "signal", "smoothed", "valleys", "f.fragments", "f.boundaries")
 
 
-def semantic(units: DataFrame, threshold: float = 0.5, min_sentences: int = 1) -> DataFrame:
-    """note_id, fragments: a sentence opens a fragment where its cosine with the one before is under the threshold and the open fragment has min_sentences."""
-    before = F.lag("vector").over(Window.partitionBy("note_id").orderBy("pos"))
-    rows = units.withColumn("sim", F.when(before.isNotNull(), vx.cosine(before, F.col("vector"))))
-    grouped = rows.groupBy("note_id").agg(F.array_sort(F.collect_list(F.struct("pos", "unit", "sim"))).alias("r"))
-    low = F.transform(F.col("r.sim"), lambda x: F.coalesce(x < threshold, F.lit(False)))
+def _at_drops(units: Column, sims: Column, threshold: float, min_sentences: int) -> Column:
+    """struct<fragments, boundaries> of units and the similarity of each to the one before (null for the first)."""
+    low = F.transform(sims, lambda x: F.coalesce(x < threshold, F.lit(False)))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("open"), _none("int").alias("cuts"))
 
     def step(s: Column, cut: Column) -> Column:
         cuts = cut & (s["open"] >= min_sentences)
         return F.struct((s["n"] + 1).alias("n"), F.when(cuts, F.lit(1)).otherwise(s["open"] + 1).alias("open"), F.when(cuts, F.array_append(s["cuts"], s["n"])).otherwise(s["cuts"]).alias("cuts"))
 
-    cut = F.aggregate(low, start, step, lambda s: s["cuts"])
-    return grouped.select("note_id", F.transform(_groups(F.col("r.unit"), cut), lambda g: F.array_join(g, " ")).alias("fragments"))
+    def boundary(i: Column) -> Column:
+        sim = F.get(sims, i)
+        return F.struct((i - 1).alias("position"), (1 - sim).alias("confidence"), F.format_string("semantic_drop(%.2f)", sim).alias("reason"))
+
+    def done(cut: Column) -> Column:
+        fragments = F.transform(_groups(units, cut), lambda g: F.array_join(g, " "))
+        return F.struct(F.when(F.size(units) > 0, fragments).otherwise(_none("string")).alias("fragments"), F.transform(cut, boundary).cast(f"array<{BOUNDARY}>").alias("boundaries"))
+
+    return let(F.aggregate(low, start, step, lambda s: s["cuts"]), done)
+
+
+def dropped(units: Column, vectors: Column, threshold: float = 0.5, min_sentences: int = 1) -> Column:
+    """struct<fragments, boundaries> of the sentences of one text and their vectors, inside its row: see semantic()."""
+    near = lambda i: vx.cosine(vx.as_double(F.get(vectors, i - 1)), vx.as_double(F.get(vectors, i)))
+    sims = F.transform(units, lambda u, i: F.when(i > 0, near(i)))
+    return let(sims, lambda x: _at_drops(units, x, threshold, min_sentences))
+
+
+def semantic(units: DataFrame, threshold: float = 0.5, min_sentences: int = 1) -> DataFrame:
+    """note_id, fragments, boundaries: a sentence opens a fragment where its cosine with the one before is under the threshold and the open fragment has min_sentences.
+
+    A boundary's position is the number of the sentence before it.
+    """
+    before = F.lag("vector").over(Window.partitionBy("note_id").orderBy("pos"))
+    rows = units.withColumn("sim", F.when(before.isNotNull(), vx.cosine(before, F.col("vector"))))
+    grouped = rows.groupBy("note_id").agg(F.array_sort(F.collect_list(F.struct("pos", "unit", "sim"))).alias("r"))
+    return grouped.select("note_id", _at_drops(F.col("r.unit"), F.col("r.sim"), threshold, min_sentences).alias("f")).select("note_id", "f.fragments", "f.boundaries")
 
 
 def concat_signals(fragments: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexforge.functions import text as tx
 from lexforge.functions import vector as vx
-from lexforge.operators import cache, chunking, evaluation, graph, retrieval, store
+from lexforge.operators import cache, chunking, evaluation, graph, index, retrieval, store
 from lexforge.plans import experiment, registry
 from lexforge.plans import fixtures as fx
 from lexforge.sources import notes as src
@@ -491,7 +491,7 @@ frag as (select note_id, k, string_agg(unit, ' ' order by pos) f from isl group
 
 @query("select note_id, list(f order by k) fragments from frag group by note_id", _SEM)
 def chunk_semantic(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.semantic(fx.units(spark, d, chunking.semantic_sentences), 0.0)
+    return chunking.semantic(fx.units(spark, d, chunking.semantic_sentences), 0.0).select("note_id", "fragments")
 
 
 @query("select note_id, list(((pos + 1) * 200)::int order by pos) breaks from (select note_id, pos, list_cosine_similarity(vector, lead(vector) over (partition by note_id order by pos)) s from win) where s < 0.0 group by note_id", "win as (select 'doc_' || doc_id note_id, pos, embedding::double[] vector from (select doc_id, unnest(range(0, (length(text) + 199) // 200))::int pos from documents), nvec join embeddings on vec_id = (doc_id * 31 + pos) % n)")
@@ -699,3 +699,75 @@ def prompt_context(spark: SparkSession, d: str) -> DataFrame:
     v = _v(spark, d).select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
     c = fx.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("text").alias("content"), (1 + F.col("doc_id") % 10).alias("priority"))
     return experiment.prompt_context(_queries(spark, d), v, c)
+
+
+# the index and experiments
+
+_W = r"'[\p{L}\p{N}\p{Mn}_]{2,}'"
+
+
+def _sql_encode(name: str, rows: str, id_: str) -> str:
+    """name as (id_, vec float[]) of rows with id_ and a text t: the stand-in encoder, and the tables it needs."""
+    return f"""{name}_w as (select {id_}, unnest(list_distinct(regexp_extract_all(lower(t), {_W}))) w from {rows}),
+{name}_v as (select w, list_transform(range(0, {index.DIM}), lambda i: ('0x' || substr(sha256(w), (2 * i + 1)::int, 2))::int * 2 - 255) v from (select distinct w from {name}_w)),
+{name}_s as (select {id_}, d, sum(v[d + 1])::double s from {name}_w join {name}_v using (w), (select unnest(range({index.DIM}))::int d) group by all),
+{name}_l as (select {id_}, list(s order by d) s from {name}_s group by {id_}),
+{name} as (select {id_}, coalesce(list_transform(s, lambda x: x / sqrt(list_sum(list_transform(s, lambda y: y * y))))::float[], list_transform(range({index.DIM}), lambda x: 0::float)) vec from {rows} left join {name}_l using ({id_}))"""
+
+
+@query(
+    "select id chunk_id, len(vec)::int dim, list_transform(vec, lambda x: round(x::double, 4)) vector from ienc",
+    "itext as (select id, id || '  ' || left(case when pos % 3 <> 0 and pos % 4 <> 1 then content || ' old' else content end, 512) t from chunks)",
+    _sql_encode("ienc", "itext", "id"),
+)
+def index_update(spark: SparkSession, d: str) -> DataFrame:
+    """The index after an update: chunks without a vector are encoded, those of every fourth line anew, and the others keep the vectors of their older contents."""
+    c = fx.chunks(spark, d).withColumn("tags", F.array().cast("array<string>"))
+    old = index.build(c.where("order % 3 <> 0").withColumn("content", F.concat("content", F.lit(" old"))), index.hashed_encoder)
+    after = index.update(index.update(old, c, index.hashed_encoder), c.where("order % 4 = 1"), index.hashed_encoder, force=True)
+    return after.select("chunk_id", "dim", F.transform("vector", lambda x: F.round(x.cast("double"), 4)).alias("vector"))
+
+
+_HUNITS = """hsent as (select 'doc_' || doc_id note_id, pos, unit t, 'doc_' || doc_id || '/' || pos uid, unit from (select doc_id, unnest(range(len(u)))::int pos, unnest(u) unit from sent)),
+""" + _sql_encode("henc", "hsent", "uid") + """,
+hunits as (select note_id, pos, unit, vec::double[] vector from hsent join henc using (uid))"""
+
+
+@query(
+    f"select note_id, {_sql_groups('g', 'c', chr(39) + ' ' + chr(39))} fragments, list_transform(c, lambda i: list_sum(list_transform(g[1:i], lambda x: length(x)))::int) positions, list_transform(c, lambda i: round(1 - y[v[i] + 1], 6)) confidences, len({_sql_groups('g', 'c', chr(39) + ' ' + chr(39))})::int n_output from opn join vals using (note_id)",
+    _HUNITS, _SIGNAL.replace("from units", "from hunits"), _SMOOTH, _VALLEYS.replace("T", "0.3"), _FRAGMENTS,
+)
+def chunk_plugins(spark: SparkSession, d: str) -> DataFrame:
+    """A pipeline of plug-ins that compares vectors, with what its stages report."""
+    n = fx.notes(spark, d).select(F.col("id").alias("note_id"), "content")
+    made = registry.with_stages(n, [("document", {}), ("convolution", {"threshold": 0.3})], index.hashed_encoder)
+    last = F.element_at("stages", -1)
+    return made.where(F.size("fragments") > 0).select(
+        "note_id", "fragments", F.transform(last["boundaries"], lambda b: b["position"]).alias("positions"), F.transform(last["boundaries"], lambda b: F.round(b["confidence"], 6)).alias("confidences"), last["n_output"].alias("n_output")
+    )
+
+
+_MATRIX = rf"""xdoc as (select id note_id, tags, regexp_replace(content, '^\s+|\s+$', '', 'g') content from notes),
+xnw as (select id note_id, tags, list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> '') w from notes),
+xnc as (select note_id, tags, w, {_sql_cuts('list_transform(w, lambda x: (length(x) + 1)::bigint)', 800)} c from xnw where len(w) > 0),
+xng as (select note_id, tags, {_sql_groups('w', 'c', chr(39) + ' ' + chr(39))} g from xnc),
+xfrag as (select 'whole' run, note_id, tags, 0 pos, content from xdoc union all select 'naive', note_id, tags, unnest(range(len(g)))::int, unnest(g) from xng),
+xtitle as (select *, coalesce(nullif({_S("regexp_extract(content, '(?m)^[ \\t]*#{1,3}[ \\t]+([^\\n]+)$', 1)")}, ''), nullif(left({_S(f"split_part({_S('content')}, chr(10), 1)")}, 60), ''), note_id || ' parte ' || (pos + 1)) title from xfrag),
+xchunk as (select run, note_id || '::' || coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(lower(title), '[^a-z0-9\s-]', '', 'g'), '\s+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'chunk') || '-' || pos chunk_id, tags, content from xtitle),
+xtext as (select run || '|' || chunk_id cid, run, chunk_id, content, chunk_id || ' ' || array_to_string(tags, ' ') || ' ' || left(content, 512) t from xchunk),
+{_sql_encode('xenc', 'xtext', 'cid')},
+xask as (select item_id, text t from benchmark),
+{_sql_encode('xqenc', 'xask', 'item_id')},
+xscore as (select q.item_id query_id, run, chunk_id, content, list_inner_product(q.vec::double[], e.vec::double[]) score from xqenc q cross join xenc e join xtext using (cid)),
+xtop as (select *, row_number() over (partition by run, query_id order by score desc, chunk_id) rank from xscore where score >= 0.2)"""
+
+
+@query("select run, query_id, list(chunk_id order by rank) retrieved, (sum(length(content)) // 4)::bigint context_tokens, false cache_hit from xtop where rank <= 5 group by run, query_id", _MATRIX)
+def experiment_run(spark: SparkSession, d: str) -> DataFrame:
+    """Two ways of chunking under exact search, for all benchmark texts as queries."""
+    asked = fx.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.array(F.lit("doc_1")).alias("relevant"))
+    options = {"strategy": "embeddings", "options": {"threshold": 0.2}}
+    runs = [{"name": "whole", "stages": [("document", {})], **options}, {"name": "naive", "stages": [("naive", {"max_tokens": 200})], **options}]
+    r = experiment.run_matrix(fx.notes(spark, d), asked, runs, index.hashed_encoder)
+    tokens = F.floor(F.aggregate("contents", F.lit(0).cast("long"), lambda s, c: s + F.length(c)) / 4).cast("long")
+    return r.select("run", "query_id", "retrieved", tokens.alias("context_tokens"), "cache_hit")

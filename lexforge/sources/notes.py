@@ -133,15 +133,41 @@ def read_catalogue(spark: SparkSession, folders: list[str], pattern: str = "*.md
     return override(out).drop("path_rank")
 
 
+def listed_tools(folder: str) -> list[str] | None:
+    """The folders named in a _registry.yaml (or .json) of tools, entries being names or {path or name}; None where there is no such list. A list for people, so read on the driver; an unreadable one names nothing."""
+    for name in ("_registry.yaml", "_registry.json"):
+        path = Path(folder) / name
+        if not path.exists():
+            continue
+        try:
+            if name.endswith("yaml"):
+                import yaml
+
+                entries = (yaml.safe_load(path.read_text()) or {}).get("tools") or []
+            else:
+                entries = json.loads(path.read_text()).get("tools") or []
+        except Exception:
+            return []
+        return [e if isinstance(e, str) else e.get("path", e.get("name", "")) for e in entries if isinstance(e, (str, dict))]
+    return None
+
+
 def read_tools(spark: SparkSession, folder: str) -> DataFrame:
-    """A catalogue with one folder for each tool (meta.md in it); names starting with _ are left out."""
-    files = spark.read.text(f"{folder}/[!_]*/meta.md", wholetext=True)
+    """A catalogue with one folder for each tool (meta.md in it): those of its list (see listed_tools), else all whose name does not start with _. Of tools with one name the last counts."""
+    listed = listed_tools(folder)
+    here = [f for f in listed or [] if (Path(folder) / f / "meta.md").exists()]
+    if listed is not None and not here:
+        return spark.createDataFrame([], "name string, description string, runtime string, tags array<string>")
+    files = spark.read.text([f"{folder}/{f}/meta.md" for f in dict.fromkeys(here)] if here else f"{folder}/[!_]*/meta.md", wholetext=True)
     front, body = front_matter(F.col("value"))
     home = F.element_at(F.split(F.url_decode(F.col("_metadata.file_path")), "/"), -2)
+    place = F.array_position(F.array(*map(F.lit, here)), home) if here else F.lit(0)
     text = tx.strip(body)
-    return files.select(
+    found = files.select(
         F.coalesce(F.nullif(_unquoted(_field(front, "name")), F.lit("")), home).alias("name"),
         F.coalesce(F.nullif(_unquoted(_field(front, "description")), F.lit("")), F.substring(text, 1, 200)).alias("description"),
         F.coalesce(F.nullif(_unquoted(_field(front, "runtime")), F.lit("")), F.lit("python")).alias("runtime"),
-        tag_list(front).alias("tags"),
+        tag_list(front, False).alias("tags"),
+        F.struct(place.alias("place"), home.alias("home")).alias("path_rank"),
     )
+    return override(found).drop("path_rank")
