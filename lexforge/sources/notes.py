@@ -148,7 +148,7 @@ def listed_tools(folder: str) -> list[str] | None:
                 entries = json.loads(path.read_text()).get("tools") or []
         except Exception:
             return []
-        return [e if isinstance(e, str) else e.get("path", e.get("name", "")) for e in entries if isinstance(e, (str, dict))]
+        return [e if isinstance(e, str) else e.get("path") or e.get("name") or "" for e in entries if isinstance(e, (str, dict))]
     return None
 
 
