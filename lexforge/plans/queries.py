@@ -456,8 +456,9 @@ def chunk_simple(spark: SparkSession, d: str) -> DataFrame:
 _SIGNAL = """sims as (select note_id, pos, unit, list_inner_product(vector, lead(vector) over (partition by note_id order by pos)) sim from units),
 sig as (select note_id, list(unit order by pos) us, coalesce(list(sim order by pos) filter (sim is not null), []) x from sims group by note_id)"""
 _GAUSS = vx.kernel("gaussian", 5)
+_BELL = "list_transform(range(0, 5), lambda k: exp(-0.5 * pow((k - 2) / 1.25, 2)) / list_sum(list_transform(range(0, 5), lambda m: exp(-0.5 * pow((m - 2) / 1.25, 2)))))"  # deviation: a quarter of the size
 _SMOOTH = f"""smooth as (select note_id, us, x, case when len(x) = 0 then [] else list_transform(range(0, greatest(len(x), 5)), lambda i: least(1, greatest(0, list_sum(list_transform(range(0, 5), lambda j:
-    coalesce(case when i + (least(len(x), 5) - 1) // 2 - j >= 0 then x[(i + (least(len(x), 5) - 1) // 2 - j + 1)::int] end, 0) * ({_GAUSS!r}::double[])[(j + 1)::int]))))) end y from sig)"""
+    coalesce(case when i + (least(len(x), 5) - 1) // 2 - j >= 0 then x[(i + (least(len(x), 5) - 1) // 2 - j + 1)::int] end, 0) * ({_BELL})[(j + 1)::int]))))) end y from sig)"""
 _VALLEYS = """vals as (select *, list_filter(range(0, len(y)), lambda i: y[(i + 1)::int] < T and y[(i + 1)::int] <= coalesce(case when i > 0 then y[i::int] end, 2) and y[(i + 1)::int] <= coalesce(y[(i + 2)::int], 2)) v from smooth)"""
 
 
