@@ -20,8 +20,8 @@ hot_rows different stretches (a licence that a third of all documents hold, each
 surroundings) is not sorted in one place: its windows are compared by their hashes, again with partial minima. So no
 task gets all rows of a hot anchor.
 
-What is shuffled: the counts of anchors (one for about 22 words), 48 bytes for each one that comes up again, and the text of documents that
-need a suffix sort. The number of shards follows the number of words to sort; a shard far beyond
+What is shuffled: the counts of anchors (one for about 22 words), each anchor of less than hot_rows rows once to meet its count, 48 bytes for each one
+that comes up again, and the text of documents that need a suffix sort. The number of shards follows the number of words to sort; a shard far beyond
 block_words or memory is sorted from disk, in the shared folder.
 """
 
@@ -138,9 +138,13 @@ def _meeting(anchored: DataFrame, hot_rows: int) -> DataFrame:
     n = F.count("*").alias("n")
     ends = anchored.groupBy("anchor").agg(n, F.min("stretch").alias("s0"), F.max("stretch").alias("s1"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("n > 1")
     shared = written(ends.select("anchor", "n", F.expr("s0 <> s1 and d0 <> d1").alias("active")), "shared")
-    again = anchored.join(small_side(shared), "anchor")
+    # the few anchors with many rows meet theirs where these are; the rest are merged by anchor, at every size alike
+    crowd = small_side(shared.where(F.col("n") > hot_rows))
+    dense = anchored.join(crowd, "anchor")
+    sparse = anchored.join(crowd.select("anchor"), "anchor", "left_anti").join(shared.where(F.col("n") <= hot_rows).hint("merge"), "anchor")
+    again = sparse.unionByName(dense)
     columns = ("anchor", "stretch", "doc_id", "version", "lo", "hi", "active")
-    hot = written(again.where(F.col("n") > hot_rows).groupBy("anchor", "stretch").agg(n, F.min(F.struct("doc_id", "version", "lo", "hi", "active")).alias("first")).where(F.col("n") > hot_rows).select("anchor", "stretch", "first"), "hot")
+    hot = written(dense.groupBy("anchor", "stretch").agg(n, F.min(F.struct("doc_id", "version", "lo", "hi", "active")).alias("first")).where(F.col("n") > hot_rows).select("anchor", "stretch", "first"), "hot")
     if hot.isEmpty():
         rest, more = again, None
     else:
