@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from lexforge.operators import evaluation
 from lexforge.sources import notes, sinks
 from lexforge.streaming import watch
@@ -61,6 +63,13 @@ def test_reports(spark, tmp_path):
     assert {json.loads(r.value)["run"] for r in spark.read.text(str(tmp_path / "s")).collect()} == {"a", "b"}
 
 
+def test_means_that_differ_in_their_last_bits_are_equally_good(spark):
+    names = list(evaluation.BEST)
+    means = lambda run, x: spark.range(1).select(F.lit(run).alias("run"), *[F.lit(x).alias(c) for c in names])
+    got = {r.run: [r[f"best_{c}"] for c in names] for r in evaluation.compare(means("a", 0.1 + 0.2).union(means("b", 0.3)).union(means("c", 0.30001))).collect()}
+    assert got == {"a": [True] * 3 + [False] * 3, "b": [True] * 3 + [False] * 3, "c": [False] * 3 + [True] * 3}
+
+
 def test_notes_as_a_stream(spark, tmp_path):
     inbox, table, check = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "check")
     inbox.mkdir()
