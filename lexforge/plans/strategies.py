@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.functions import text as tx
-from lexforge.operators import cache, index, retrieval
+from lexforge.operators import cache, index, retrieval, store
 from lexforge.plans.registry import register_strategy
 
 
 def prepared(chunks: DataFrame, vectors: DataFrame, encoder: index.Encoder, chunking: str | None = None) -> DataFrame:
     """(chunk_id, vector) of the chunks of one way of chunking (or of all); those without a vector are encoded on the fly. Write index.update() to keep them."""
     mine = chunks if chunking is None else chunks.where(F.col("strategy") == chunking)
-    return index.load(index.update(vectors, mine, encoder), mine)
+    # load(update()) without a second pass over all chunks: those just encoded are among them
+    fresh = index.build(store.chunks_without_embeddings(mine, vectors), encoder)
+    return index.load(vectors, mine).unionByName(fresh.select("chunk_id", "vector"))
 
 
 @register_strategy("embeddings")
